@@ -165,9 +165,6 @@ def mean_of_draft_rates(t: Tables) -> DataFrame:
 
 
 @query("A12 A19 I13", WITH + """
-, r AS (SELECT model, condition, run, CAST(count(*) FILTER (verdict='exists') AS DOUBLE)
-    / nullif(count(*) FILTER (verdict IN ('exists','not_found')), 0) AS rate FROM records
-    WHERE kind='citation' OR kind='quote' GROUP BY 1, 2, 3)
 , s AS (SELECT model, condition, run, CAST(count(*) FILTER (verdict='accurate') AS DOUBLE)
     / nullif(count(*) FILTER (verdict IN ('accurate','near_miss','inaccurate')), 0) AS rate FROM records GROUP BY 1, 2, 3)
 SELECT model, condition, count(rate) AS runs, round(avg(rate), 9) AS mean_rate,

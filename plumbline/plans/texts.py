@@ -254,8 +254,8 @@ def reporter_spellings(t: Tables) -> DataFrame:
     )
 
 
-@query("F32", f"WITH {V.CASES}, {V.CLAIMS}" + r""", p AS (SELECT draft, ord, part, supp, CASE ord % 3 WHEN 0 THEN concat(CAST(pin_page AS VARCHAR), '-', right(CAST(pin_page + 3 AS VARCHAR), 2))
-   WHEN 1 THEN concat(CAST(pin_page AS VARCHAR), ', ', CAST(pin_page + 6 AS VARCHAR)) ELSE concat('at ', CAST(pin_page AS VARCHAR), ' to ', CAST(pin_page + 2 AS VARCHAR)) END AS pin, pin_page FROM claims)
+@query("F32", f"WITH {V.CASES}, {V.CLAIMS}" + r""", p AS (SELECT draft, ord, part, supp, CASE WHEN pin_page IS NULL THEN NULL WHEN ord % 3 = 0 THEN concat(CAST(pin_page AS VARCHAR), '-', right(CAST(pin_page + 3 AS VARCHAR), 2))
+   WHEN ord % 3 = 1 THEN concat(CAST(pin_page AS VARCHAR), ', ', CAST(pin_page + 6 AS VARCHAR)) ELSE concat('at ', CAST(pin_page AS VARCHAR), ' to ', CAST(pin_page + 2 AS VARCHAR)) END AS pin, pin_page FROM claims)
 , r AS (SELECT *, regexp_extract_all(pin, '(\d+)\s*(?:-|–|to)\s*(\d+)', 1)[1] AS a, regexp_extract_all(pin, '(\d+)\s*(?:-|–|to)\s*(\d+)', 2)[1] AS b FROM p)
 , e AS (SELECT *, CASE WHEN CAST(b AS BIGINT) < CAST(a AS BIGINT) THEN CAST(concat(left(a, length(a) - length(CAST(CAST(b AS BIGINT) AS VARCHAR))), CAST(CAST(b AS BIGINT) AS VARCHAR)) AS BIGINT) ELSE CAST(b AS BIGINT) END AS hi FROM r)
 SELECT draft, ord, part, supp, CAST(nullif(regexp_extract(pin, '\d+'), '') AS BIGINT) AS first_pin,
