@@ -36,6 +36,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate an expression once and hand it to ``body``.
+
+    An expression used inside a lambda is evaluated again for every element;
+    bound as the element of a one-element array it is evaluated once per row.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(c) -> Column:
     """Lower case, unwrap brackets, drop apostrophes, every other run of non-alphanumerics to one space.
 
@@ -67,8 +76,12 @@ def token_coverage(fragment, text) -> Column:
     """Share of the fragment's words of five letters or more that occur in the text as substrings."""
     text = _col(text)
     long_words = F.filter(F.split(_col(fragment), " "), lambda w: F.length(w) >= LONG_WORD)
-    found = F.size(F.filter(long_words, lambda w: F.contains(text, w)))
-    return F.when(F.size(long_words) == 0, F.lit(0.0)).otherwise(found / F.size(long_words))
+    return let(
+        long_words,
+        lambda ws: F.when(F.size(ws) == 0, F.lit(0.0)).otherwise(
+            F.size(F.filter(ws, lambda w: F.contains(text, w))) / F.size(ws)
+        ),
+    )
 
 
 def fragments(quote, mode: str = "strict") -> Column:
@@ -121,14 +134,18 @@ def spans(text, pattern: str) -> Column:
     """
     text = _col(text)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    steps = F.zip_with(gaps, F.transform(hits, lambda h: F.length(h)), lambda g, h: g + F.coalesce(h, F.lit(0)))
+    bound = F.struct(hits.alias("hits"), gaps.alias("gaps"), steps.alias("steps"))
+
+    def place(b: Column) -> Column:
+        def one(hit: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(b["steps"], F.lit(1), i), F.lit(0), lambda x, y: x + y)
+            return F.struct((before + F.get(b["gaps"], i)).alias("start"), hit.alias("body"))
 
-    def place(hit: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(steps, F.lit(1), i), F.lit(0), lambda a, b: a + b)
-        return F.struct((before + F.length(F.get(gaps, i))).alias("start"), hit.alias("body"))
+        return F.transform(b["hits"], one)
 
-    return F.transform(hits, place)
+    return let(bound, place)
 
 
 def quote_spans(text) -> Column:

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import let
 from plumbline.session import union_all
 
 # Anchors up to this many rows are broadcast (about 50 bytes each); beyond it
@@ -42,10 +43,10 @@ def _tagged(tag: str, value: Column) -> Column:
     return F.xxhash64(F.lit(tag), value)
 
 
-def with_anchor(frags: DataFrame, frag: str) -> DataFrame:
-    """Add ``_kind`` and ``_anchor`` to fragments."""
-    w = F.split(frag, " ")
+def _anchor_of(w: Column) -> Column:
+    """struct(kind, anchor) of the words of a fragment."""
     n = F.size(w)
+    first, second = _word(w, 0), _word(w, 1)
     runs = F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), n - 4)),
         lambda i: F.struct(
@@ -57,50 +58,50 @@ def with_anchor(frags: DataFrame, frag: str) -> DataFrame:
         F.slice(w, F.lit(2), F.greatest(F.lit(0), n - 2)),
         lambda x: F.struct((-F.length(x)).alias("k"), x.alias("w")),
     )
-    first, second = _word(w, 0), _word(w, 1)
-    kind = (
-        F.when(n >= 5, RUN).when(n >= 3, INNER)
-        .when((n == 2) & (F.greatest(F.length(first), F.length(second)) >= AFFIX), AFFIXES)
-        .when((n == 1) & (F.length(first) >= GRAM), LONG)
-        .otherwise(BARE)
-    )
     affix = F.when(F.length(first) >= F.length(second), _tagged("tail", F.right(first, F.lit(AFFIX)))).otherwise(
         _tagged("head", F.left(second, F.lit(AFFIX)))
     )
-    anchor = (
-        F.when(kind == RUN, F.array_min(runs)["h"])
-        .when(kind == INNER, _tagged("word", F.array_min(inner)["w"]))
-        .when(kind == AFFIXES, affix)
-        .when(kind == LONG, _tagged("gram", F.left(first, F.lit(GRAM))))
+    made = lambda kind, anchor: F.struct(F.lit(kind).alias("kind"), anchor.alias("anchor"))
+    return (
+        F.when(n >= 5, made(RUN, F.array_min(runs)["h"]))
+        .when(n >= 3, made(INNER, _tagged("word", F.array_min(inner)["w"])))
+        .when((n == 2) & (F.greatest(F.length(first), F.length(second)) >= AFFIX), made(AFFIXES, affix))
+        .when((n == 1) & (F.length(first) >= GRAM), made(LONG, _tagged("gram", F.left(first, F.lit(GRAM)))))
+        .otherwise(made(BARE, F.lit(None).cast("long")))
     )
-    return frags.withColumn("_kind", kind).withColumn("_anchor", anchor)
+
+
+def with_anchor(frags: DataFrame, frag: str) -> DataFrame:
+    """Add ``_kind`` and ``_anchor`` to fragments."""
+    made = frags.withColumn("_a", let(F.split(frag, " "), _anchor_of))
+    return made.withColumn("_kind", F.col("_a.kind")).withColumn("_anchor", F.col("_a.anchor")).drop("_a")
 
 
 def _text_keys(text: Column, kinds: set[str]) -> Column:
     """Every anchor of the wanted kinds that a text produces, without repeats."""
-    w = F.split(text, " ")
-    distinct = F.array_distinct(w)
-    parts = []
-    if RUN in kinds:
-        n = F.size(w)
-        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 3)), lambda i: _run_hash(w, i))
-        parts.append(runs)
-    if INNER in kinds:
-        parts.append(F.transform(distinct, lambda x: _tagged("word", x)))
-    if AFFIXES in kinds:
-        big = F.filter(distinct, lambda x: F.length(x) >= AFFIX)
-        parts.append(F.transform(big, lambda x: _tagged("tail", F.right(x, F.lit(AFFIX)))))
-        parts.append(F.transform(big, lambda x: _tagged("head", F.left(x, F.lit(AFFIX)))))
-    if LONG in kinds:
-        big = F.filter(distinct, lambda x: F.length(x) >= GRAM)
-        grams = F.transform(
-            big,
-            lambda x: F.transform(
-                F.sequence(F.lit(1), F.length(x) - GRAM + 1), lambda i: _tagged("gram", x.substr(i, F.lit(GRAM)))
-            ),
-        )
-        parts.append(F.flatten(grams))
-    return F.array_distinct(F.concat(*parts))
+
+    def keys(w: Column) -> Column:
+        parts = []
+        if RUN in kinds:
+            last = F.greatest(F.lit(0), F.size(w) - 3)
+            parts.append(F.transform(F.sequence(F.lit(0), last), lambda i: _run_hash(w, i)))
+        if INNER in kinds:
+            parts.append(F.transform(w, lambda x: _tagged("word", x)))
+        if AFFIXES in kinds:
+            big = F.filter(w, lambda x: F.length(x) >= AFFIX)
+            parts.append(F.transform(big, lambda x: _tagged("tail", F.right(x, F.lit(AFFIX)))))
+            parts.append(F.transform(big, lambda x: _tagged("head", F.left(x, F.lit(AFFIX)))))
+        if LONG in kinds:
+            grams = F.transform(
+                F.filter(w, lambda x: F.length(x) >= GRAM),
+                lambda x: F.transform(
+                    F.sequence(F.lit(1), F.length(x) - GRAM + 1), lambda i: _tagged("gram", x.substr(i, F.lit(GRAM)))
+                ),
+            )
+            parts.append(F.flatten(grams))
+        return F.array_distinct(F.concat(*parts))
+
+    return let(F.split(text, " "), keys)
 
 
 def _meet(anchors: DataFrame, docs: DataFrame, doc_id: str, text: str, keys: Column, strategy: str) -> DataFrame:
@@ -133,6 +134,8 @@ def contained(
     ``extra`` maps names to columns over ``frag`` and ``text`` that are
     evaluated on the verified pairs.
     """
+    # a text that cannot be null keeps the optimizer from testing, and so computing, it twice
+    docs = docs.select(doc_id, F.coalesce(text, F.lit("")).alias(text))
     anchored = with_anchor(frags.select(frag_id, frag), frag)
     kinds = {r[0] for r in anchored.select("_kind").distinct().collect()}  # at most five values
     found = []
@@ -166,7 +169,7 @@ def contained_gapless(
     text offers every run of eight letters.
     """
     bare = frags.select(frag_id, F.translate(frag, " ", "").alias("_f"))
-    solid = docs.select(doc_id, F.translate(text, " ", "").alias("_t"))
+    solid = docs.select(doc_id, F.coalesce(F.translate(text, " ", ""), F.lit("")).alias("_t"))
     anchors = bare.withColumn("_anchor", F.xxhash64(F.left("_f", F.lit(GAPLESS_GRAM)))).filter(
         F.length("_f") >= GAPLESS_GRAM
     )
