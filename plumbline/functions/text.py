@@ -103,26 +103,29 @@ def fragments(quote, mode: str = "strict") -> Column:
 
 def longest(pieces) -> Column:
     """The longest piece; the first one on ties."""
-    pieces = _col(pieces)
     ranked = F.transform(
-        pieces, lambda p, i: F.struct((-F.length(p)).alias("k"), i.alias("i"), p.alias("p"))
+        _col(pieces), lambda p, i: F.struct((-F.length(p)).alias("k"), i.alias("i"), p.alias("p"))
     )
     return F.array_min(ranked)["p"]
 
 
 def longest_fragment(quote, mode: str = "literal") -> Column:
     """The longest fragment, or the whole normalised quotation when it has none."""
-    pieces = fragments(quote, mode)
-    return F.when(F.size(pieces) > 0, longest(pieces)).otherwise(normalize(quote))
+    return let(
+        fragments(quote, mode), lambda ps: F.when(F.size(ps) > 0, longest(ps)).otherwise(normalize(quote))
+    )
 
 
 def middle_words(c, length: int, *, only_from: int | None = None) -> Column:
     """The middle ``length`` words of a space-joined text; the whole text when it is shorter."""
-    w = F.split(_col(c), " ")
-    n = F.size(w)
-    start = F.greatest(F.lit(1), F.floor(n / 2).cast("int") - length // 2 + 1)
     limit = length if only_from is None else only_from - 1
-    return F.when(n <= limit, _col(c)).otherwise(F.array_join(F.slice(w, start, F.lit(length)), " "))
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        start = F.greatest(F.lit(1), F.floor(n / 2).cast("int") - length // 2 + 1)
+        return F.when(n <= limit, F.array_join(w, " ")).otherwise(F.array_join(F.slice(w, start, F.lit(length)), " "))
+
+    return let(F.split(_col(c), " "), cut)
 
 
 def spans(text, pattern: str) -> Column:

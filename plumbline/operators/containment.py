@@ -73,7 +73,8 @@ def _anchor_of(w: Column) -> Column:
 
 def with_anchor(frags: DataFrame, frag: str) -> DataFrame:
     """Add ``_kind`` and ``_anchor`` to fragments."""
-    made = frags.withColumn("_a", let(F.split(frag, " "), _anchor_of))
+    # as a generated column the anchor is computed once; later filters stay above it
+    made = frags.withColumn("_a", F.explode(F.array(let(F.split(frag, " "), _anchor_of))))
     return made.withColumn("_kind", F.col("_a.kind")).withColumn("_anchor", F.col("_a.anchor")).drop("_a")
 
 
@@ -107,15 +108,18 @@ def _text_keys(text: Column, kinds: set[str]) -> Column:
 def _meet(anchors: DataFrame, docs: DataFrame, doc_id: str, text: str, keys: Column, strategy: str) -> DataFrame:
     """Pairs of anchor rows and documents with an equal key, document text attached."""
     if strategy == "broadcast":
-        # explode and probe run in one stage; a text row is written out only on a hit
-        exploded = docs.select(doc_id, text, F.explode_outer(keys).alias("_anchor"))
+        # The keys are a column of their own, so that explode and probe compile
+        # into one loop: a text is written out for a hit, not for every key.
+        keyed = docs.select(doc_id, text, keys.alias("_keys"))
+        exploded = keyed.select(doc_id, text, F.explode_outer("_keys").alias("_anchor"))
         return exploded.join(F.broadcast(anchors), "_anchor")
-    pairs = docs.select(doc_id, F.explode_outer(keys).alias("_anchor")).join(anchors, "_anchor")
+    keyed = docs.select(doc_id, keys.alias("_keys"))
+    pairs = keyed.select(doc_id, F.explode_outer("_keys").alias("_anchor")).join(anchors, "_anchor")
     return pairs.join(docs.select(doc_id, text), doc_id)
 
 
-def _strategy(anchors: DataFrame, limit: int) -> str:
-    return "broadcast" if anchors.limit(limit + 1).count() <= limit else "shuffle"
+def _strategy(rows: int, limit: int) -> str:
+    return "broadcast" if rows <= limit else "shuffle"
 
 
 def contained(
@@ -136,15 +140,16 @@ def contained(
     """
     # a text that cannot be null keeps the optimizer from testing, and so computing, it twice
     docs = docs.select(doc_id, F.coalesce(text, F.lit("")).alias(text))
-    anchored = with_anchor(frags.select(frag_id, frag), frag)
-    kinds = {r[0] for r in anchored.select("_kind").distinct().collect()}  # at most five values
+    anchored = with_anchor(frags.select(frag_id, F.coalesce(frag, F.lit("")).alias(frag)), frag)
+    sizes = dict(anchored.groupBy("_kind").count().collect())  # at most five rows
     found = []
-    keyed = kinds - {BARE}
+    keyed = set(sizes) - {BARE}
     if keyed:
         anchors = anchored.filter(F.col("_anchor").isNotNull()).drop("_kind")
         keys = _text_keys(F.col(text), keyed)
-        found.append(_meet(anchors, docs, doc_id, text, keys, _strategy(anchors, limit)))
-    if BARE in kinds or not found:
+        many = sum(n for kind, n in sizes.items() if kind != BARE)
+        found.append(_meet(anchors, docs, doc_id, text, keys, _strategy(many, limit)))
+    if BARE in sizes or not found:
         # under fifteen letters and without a whole inner word: nothing to key on
         found.append(docs.select(doc_id, text).join(anchored.filter(F.col("_kind") == BARE).drop("_kind", "_anchor"),
                                                     F.contains(F.col(text), F.col(frag))))
@@ -173,13 +178,9 @@ def contained_gapless(
     anchors = bare.withColumn("_anchor", F.xxhash64(F.left("_f", F.lit(GAPLESS_GRAM)))).filter(
         F.length("_f") >= GAPLESS_GRAM
     )
-    keys = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_t") - GAPLESS_GRAM + 1)),
-            lambda i: F.xxhash64(F.col("_t").substr(i, F.lit(GAPLESS_GRAM))),
-        )
-    )
-    pairs = _meet(anchors, solid, doc_id, "_t", keys, _strategy(anchors, limit)).select(frag_id, "_f", doc_id, "_t")
+    runs = F.regexp_extract_all("_t", F.lit(rf"(?=(.{{{GAPLESS_GRAM}}}))"), F.lit(1))  # overlapping, in linear time
+    keys = F.array_distinct(F.transform(runs, lambda g: F.xxhash64(g)))
+    pairs = _meet(anchors, solid, doc_id, "_t", keys, _strategy(anchors.count(), limit)).select(frag_id, "_f", doc_id, "_t")
     short = bare.filter(F.length("_f") < GAPLESS_GRAM)
     rest = solid.join(short, F.contains(F.col("_t"), F.col("_f"))).select(frag_id, "_f", doc_id, "_t")
     return (

@@ -23,21 +23,28 @@ def occurrences(text: Column, probe: Column) -> Column:
 def probe_hits(probes: DataFrame, corpus: DataFrame, key: str, frag: str, doc_id: str, text: str) -> DataFrame:
     """(key, doc_id, probe, n): documents with the fragment, else with its middle ten words.
 
-    The second search runs for the fragments the first one did not find, and
-    equal fragments are searched once.
+    Both forms of a fragment are searched in one pass over the corpus, equal
+    fragments once; the middle words count only where no document holds the
+    whole fragment.
     """
-    asked = probes.select(frag).distinct().withColumn("_fid", F.xxhash64(frag)).select("_fid", frag)
-    many = {"n": occurrences(F.col(text), F.col("_probe"))}
-
-    def search(wanted: DataFrame) -> DataFrame:
-        return contained(wanted, corpus, frag_id="_orig", frag="_probe", doc_id=doc_id, text=text, extra={**many, "probe": F.col("_probe")})
-
-    whole = search(asked.select(F.col(frag).alias("_orig"), F.col(frag).alias("_probe")))
-    long_enough = F.size(F.split(frag, " ")) >= 10
-    missed = asked.filter(long_enough).join(whole.select(F.col("_orig").alias(frag)).distinct(), frag, "left_anti")
-    middle = search(missed.select(F.col(frag).alias("_orig"), X.middle_words(frag, 10).alias("_probe")))
-    found = whole.unionByName(middle)
-    return probes.select(key, F.col(frag).alias("_orig")).join(found, "_orig").select(key, doc_id, "probe", "n")
+    asked = probes.select(F.col(frag).alias("_orig")).distinct()
+    forms = F.array(
+        F.struct(F.lit(0).alias("stage"), F.col("_orig").alias("probe")),
+        F.when(
+            F.size(F.split("_orig", " ")) >= 10,
+            F.struct(F.lit(1).alias("stage"), X.middle_words("_orig", 10).alias("probe")),
+        ),
+    )
+    asked = asked.select("_orig", F.explode(F.filter(forms, lambda x: x.isNotNull())).alias("f")).select(
+        "_orig", "f.stage", F.col("f.probe").alias("_probe")
+    )
+    found = contained(
+        asked.select(F.struct("_orig", "stage").alias("_form"), "_probe"), corpus, frag_id="_form", frag="_probe",
+        doc_id=doc_id, text=text, extra={"n": occurrences(F.col(text), F.col("_probe")), "probe": F.col("_probe")},
+    ).select("_form._orig", "_form.stage", doc_id, "n", "probe")
+    whole = found.filter("stage = 0").select("_orig").distinct().withColumn("_whole", F.lit(True))
+    kept = found.join(whole, "_orig", "left").filter((F.col("stage") == 0) | F.col("_whole").isNull())
+    return probes.select(key, F.col(frag).alias("_orig")).join(kept, "_orig").select(key, doc_id, "probe", "n")
 
 
 def first_hits(hits: DataFrame, key: str, doc_id: str, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import text as X
 from plumbline.operators.skew import salted_join
@@ -143,7 +144,7 @@ def proportional_window(text, text_norm, quote, width: int) -> Column:
     return F.when(at > 0, text.substr(lo + 1, there + width // 2 - lo)).otherwise(F.left(text, F.lit(width * 2)))
 
 
-@F.pandas_udf("struct<window string, ratio double>")
+@F.pandas_udf(T.StructType().add("window", T.StringType()).add("ratio", T.DoubleType()))
 def closest_region(fragment: pd.Series, text: pd.Series) -> pd.DataFrame:
     """Window of a text around the longest run it shares with a fragment, and the similarity ratio."""
     out = []

@@ -72,8 +72,9 @@ _CASE_TOKENS = (
     "list_distinct(list_filter(list_transform(regexp_extract_all({0}, '[A-Za-z][A-Za-z''-]{{3,}}'), lambda x: lower(x)), "
     "lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in N.CASE_STOP) + ")))"
 )
-_HITS = f"""WITH {V.DOC_QUOTES}, d AS (SELECT doc_id, {NORM} AS n, left(trim(left(text, 80)), 90) AS caption FROM documents)
-, fr AS (SELECT doc_id, {_ATTRIBUTED} AS att, {V.frags('quote', 'MODE')} AS l, {V.nz('quote')} AS nq FROM doc_quotes)
+def _hits_sql(mode: str) -> str:
+    return f"""WITH {V.DOC_QUOTES}, d AS (SELECT doc_id, {NORM} AS n, left(trim(left(text, 80)), 90) AS caption FROM documents)
+, fr AS (SELECT doc_id, {_ATTRIBUTED} AS att, {V.frags('quote', mode)} AS l, {V.nz('quote')} AS nq FROM doc_quotes)
 , fm AS (SELECT doc_id, att, CASE WHEN len(l) = 0 THEN nq ELSE list_filter(l, lambda x: length(x) = list_max(list_transform(l, lambda y: length(y))))[1] END AS frag FROM fr)
 , whole AS (SELECT DISTINCT fm.frag, d.doc_id, frag AS probe FROM fm JOIN d ON contains(d.n, frag))
 , missed AS (SELECT DISTINCT frag, string_split(frag, ' ') AS w FROM fm WHERE frag NOT IN (SELECT frag FROM whole) AND len(string_split(frag, ' ')) >= 10)
@@ -95,7 +96,7 @@ def _captions(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.left(F.trim(F.left("text", F.lit(80))), F.lit(90)).alias("caption"))
 
 
-@query("V4 T3 J9", _HITS.replace("MODE", "literal") + f"""
+@query("V4 T3 J9", _hits_sql("literal") + f"""
 , top AS (SELECT *, least(n, 3 - before) AS taken FROM per WHERE before < 3)
 , j AS (SELECT fm.doc_id AS q, coalesce(CAST(sum(taken) AS BIGINT), 0) AS hits, coalesce(bool_or(list_has_any({_CASE_TOKENS.format('top.caption')}, {_CASE_TOKENS.format("coalesce(a.caption, '')")})), false) AS own,
     coalesce(bool_or(len(string_split(probe, ' ')) >= 6), false) AS distinctive
@@ -116,7 +117,7 @@ def provenance_classes(t: Tables) -> DataFrame:
     return g.select("q", "hits", D.provenance_class(F.col("hits"), F.col("own"), F.col("distinctive")).alias("cls"))
 
 
-@query("V5 T4", _HITS.replace("MODE", "strict") + """
+@query("V5 T4", _hits_sql("strict") + """
 , top AS (SELECT *, least(n, 25 - before) AS taken FROM per WHERE before < 25)
 , g AS (SELECT q, CAST(sum(taken) AS BIGINT) AS occurrences, count(DISTINCT caption) AS sources, bool_or(len(string_split(probe, ' ')) >= 6) AS distinctive FROM top GROUP BY 1)
 SELECT q, occurrences, sources, distinctive, CASE WHEN sources = 1 THEN 'one' WHEN sources <= 6 THEN 'few' ELSE 'many' END AS spread FROM g""")
