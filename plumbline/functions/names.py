@@ -25,6 +25,8 @@ CLAIMED = (
     r"(?U)[A-Z][\w.&'’,-]*(?: [A-Z&][\w.&'’,-]*){0,6} v\. "
     r"[A-Z][\w.&'’,-]*(?: [A-Z&][\w.&'’,-]*){0,6}"
 )
+# Separators and earlier citations that end the reach of a caption.
+SEPARATOR = r"[;:()\n]|\d+\s+[A-Z][A-Za-z. ]*\d+"
 # Parties too generic to identify a case, and entity suffixes to strip.
 GENERIC_PARTIES = [
     "united states", "united states of america", "state", "government",
@@ -78,6 +80,21 @@ def claimed_name(text, start, window: int = 120) -> Column:
     return F.get(F.reverse(found), F.lit(0))
 
 
+def claimed_caption(text, start, window: int = 160) -> Column:
+    """"A v. B" ending where a citation begins: the plaintiff starts after the last separator; null if unclear."""
+    text, start = _col(text), _col(start)
+    lo = F.greatest(F.lit(0), start - window)
+    ahead = F.translate(text.substr(lo + 1, start - lo), "*_", "")
+    halves = r"(?s)^(.*) v\.? (.*)$"
+    left = F.element_at(F.split(F.regexp_extract(ahead, halves, 1), SEPARATOR), -1)
+    defendant = F.regexp_replace(F.regexp_extract(ahead, halves, 2), r"^\s+|[\s,]+$", "")
+    plain = F.regexp_replace(left, r'(?s)^.*(?:[”"\]]|[.?!] )', "")
+    last_six = F.regexp_extract(F.regexp_replace(plain, r"\s+$", ""), r"(\S+(?:\s+\S+){0,5})$", 1)
+    plaintiff = F.regexp_replace(F.regexp_replace(last_six, r"\s+", " "), r"^[ ,.]+|[ ,.]+$", "")
+    usable = ahead.rlike(halves) & ~defendant.rlike(SEPARATOR) & (plaintiff != "") & (defendant != "")
+    return F.when(usable, F.concat(plaintiff, F.lit(" v. "), defendant))
+
+
 def mask_terms(name) -> Column:
     """Strings that identify a party, longest first; none for a generic party."""
     clean = F.trim(F.regexp_replace(_col(name), ENTITY_SUFFIXES, ""))

@@ -10,12 +10,12 @@ from plumbline.functions import text as X
 
 # --- fixed values -----------------------------------------------------------
 ANALYSIS = (
-    r"^(II\.|III\.|DISCUSSION|ANALYSIS|Discussion|Analysis|STANDARD OF REVIEW)\b|"
+    r"(?U)^(II\.|III\.|DISCUSSION|ANALYSIS|Discussion|Analysis|STANDARD OF REVIEW)\b|"
     r"\b(standard of review|[Ww]e review|de novo|[Ww]e turn|[Ww]e begin (?:our|with)|"
     r"[Ww]e first|[Ww]e must decide|[Ww]e consider first)\b"
 )
 OUTCOME = (
-    r"\b(we|We) (also |further |therefore |accordingly |now |thus )?"
+    r"(?U)\b(we|We) (also |further |therefore |accordingly |now |thus )?"
     r"(affirm|reverse|vacate|remand|hold|conclude|agree|disagree|reject|grant|deny|"
     r"instruct|direct|find|decline|dismiss|see no|are not persuaded|are persuaded)\b|"
     r"^We\b|\b(AFFIRMED|REVERSED|VACATED|REMANDED|Affirmed|Reversed|Vacated|Remanded)\b|"
@@ -26,7 +26,7 @@ HEADER = (
     r"Circuit Judges?[:.]?$|^OPINION( OF THE COURT)?$|^ORDER$|Before .* Judges"
 )
 JUDGE_LINE = r"Judge\.?:?$|PER CURIAM"
-RESIDUE = r"(?i)\b(affirm|revers)\w*"
+RESIDUE = r"(?iU)\b(affirm|revers)\w*"
 MIN_WORDS, MAX_WORDS = 250, 900
 PER_CIRCUIT = 4
 # ----------------------------------------------------------------------------
@@ -92,7 +92,6 @@ def quota_selection(candidates: DataFrame, group: str, flag: str, order: str, to
     from plumbline.operators.cells import top_per_group
 
     short = top_per_group(candidates, [group, flag], [F.col(order)], per_group, "_rk").drop("_rk")
-    schema = short.schema
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         taken, per, flagged = [], {}, 0
@@ -105,4 +104,6 @@ def quota_selection(candidates: DataFrame, group: str, flag: str, order: str, to
             taken.append(row)
         return pd.DataFrame(taken, columns=rows.columns)
 
-    return short.groupBy(F.lit(1)).applyInPandas(fold, schema)
+    return short.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(
+        lambda rows: fold(rows.drop(columns="_all")), short.schema
+    )

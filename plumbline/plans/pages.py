@@ -162,10 +162,10 @@ def packets(t: Tables) -> DataFrame:
 
 @query("F41", r"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: array_to_string(list_filter(string_split(p, '. '),
-   lambda x: NOT regexp_matches(x, '\b(ouen|ones|thre|enenst)')), '. ')), lambda p: p <> '') AS kept FROM documents)
+   lambda x: NOT regexp_matches(x, '(^|[ ,])(ouen|ones|thre|enenst)')), '. ')), lambda p: p <> '') AS kept FROM documents)
 SELECT doc_id, len(kept) AS paragraphs, md5(array_to_string(kept, chr(10))) AS kept_md5 FROM s""")
 def scrubbed_paragraphs(t: Tables) -> DataFrame:
-    clean = lambda p: F.array_join(F.filter(F.split(p, r"\. "), lambda x: ~x.rlike(r"\b(ouen|ones|thre|enenst)")), ". ")
+    clean = lambda p: F.array_join(F.filter(F.split(p, r"\. "), lambda x: ~x.rlike(r"(^|[ ,])(ouen|ones|thre|enenst)")), ". ")
     kept = F.filter(F.transform(F.split("text", "\n"), clean), lambda p: p != "")
     return spread(t.documents).select("doc_id", F.size(kept).cast("long").alias("paragraphs"), F.md5(F.array_join(kept, "\n")).alias("kept_md5"))
 
@@ -176,13 +176,13 @@ def quota_selection(t: Tables) -> DataFrame:
     return K.quota_selection(c.withColumn("draw", S.draw_key(20260903, "cluster_id")), "reporter", "gov", "draw", 16)
 
 
-@query("M13", f"WITH {_PAGES}" + """, s AS (SELECT page_id, page, trim(unnest(string_split(text, '. '))) AS s FROM pages_of), c AS (SELECT DISTINCT page_id, page, s FROM s WHERE length(s) BETWEEN 40 AND 200)
+@query("M13", f"WITH {_PAGES}" + """, s AS (SELECT page_id, page, unnest(string_split(text, '. ')) AS s FROM pages_of), c AS (SELECT DISTINCT page_id, page, s FROM s WHERE length(s) BETWEEN 40 AND 200)
 , u AS (SELECT page_id, s, min(page) AS page FROM c GROUP BY 1, 2 HAVING count(*) = 1)
 , pn AS (SELECT DISTINCT page_id, page FROM pages_of), far AS (SELECT u.page_id, u.s, u.page, min(p.page) AS far_page FROM u JOIN pn p ON p.page_id = u.page_id AND abs(p.page - u.page) >= 3 GROUP BY 1, 2, 3)
 SELECT page_id, md5(s) AS sentence_md5, page, far_page FROM far""")
 def unique_page_plants(t: Tables) -> DataFrame:
     p = pages_of(t)
-    c = p.select("page_id", "page", F.explode(F.transform(F.split("text", r"\. "), F.trim)).alias("s"))
+    c = p.select("page_id", "page", F.explode(F.split("text", r"\. ")).alias("s"))
     c = c.filter(F.length("s").between(40, 200)).select("page_id", "page", F.md5("s").alias("sentence_md5")).distinct()
     u = c.groupBy("page_id", "sentence_md5").agg(F.min("page").alias("page"), F.count(F.lit(1)).alias("k")).filter("k = 1").drop("k")
     # the lowest page three away is the lowest page of all, or the first one three after
