@@ -233,11 +233,12 @@ DRAFTS = (
 
 def drafts(t: Tables) -> DataFrame:
     from plumbline.functions.text import words
+    from plumbline.session import spread
 
     part = lambda a, b: F.array_join(F.slice("w", a, b - a + 1), " ")
     src = t.documents.withColumn("w", words("text")).select(
         "doc_id", F.col("text").alias("opinion"), part(6, 19).alias("q1"), part(20, 32).alias("q2")
     )
     n = t.documents.agg(F.count(F.lit(1)).alias("nd"))
-    numbered = cases(t).crossJoin(F.broadcast(n)).withColumn("doc_id", F.col("orderkey") % F.col("nd"))
+    numbered = spread(cases(t)).crossJoin(F.broadcast(n)).withColumn("doc_id", F.col("orderkey") % F.col("nd"))
     return numbered.join(src, "doc_id").selectExpr(*_DRAFT)
