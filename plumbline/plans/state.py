@@ -1 +1,76 @@
+"""Event logs, keyed notes, caches and budgets on the events."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.operators import state as O
+from plumbline.plans.registry import query
+from plumbline.session import Tables, shared_dir
+from plumbline.streaming import eventlog
+
+_STEP = "concat(CAST(user_id AS STRING), ':', event_type)"
+
+
+@query("Z1 Z2 A5", f"SELECT {_STEP} AS step, min(event_id) AS first_event_id, count(*) AS records FROM events GROUP BY 1")
+def completed_steps(t: Tables) -> DataFrame:
+    return O.completed(t.events.selectExpr(f"{_STEP} AS step", "event_id"), "step", ["event_id"])
+
+
+@query("Z3 U6", f"""
+WITH planned AS (SELECT DISTINCT concat(CAST(c_custkey AS VARCHAR), ':', e) AS step FROM customer, (SELECT unnest(['click','view','signup','error','purchase']) AS e))
+SELECT step FROM planned WHERE step NOT IN (SELECT {_STEP} FROM events)""")
+def pending_steps(t: Tables) -> DataFrame:
+    kinds = F.explode(F.array(*[F.lit(x) for x in ("click", "view", "signup", "error", "purchase")]))
+    planned = t.customer.select("c_custkey", kinds.alias("e")).select(F.concat_ws(":", F.col("c_custkey").cast("string"), "e").alias("step"))
+    return O.pending(planned.distinct(), t.events.selectExpr(f"{_STEP} AS step"), "step")
+
+
+@query("Z5 K2", """
+WITH ops AS (SELECT user_id * 10 + event_id % 7 AS id, event_id AS seq, CASE WHEN event_type = 'error' THEN 'retire' ELSE 'add' END AS op, value FROM events)
+SELECT id, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM ops) WHERE rn = 1 AND op = 'add'""")
+def live_notes(t: Tables) -> DataFrame:
+    ops = t.events.selectExpr(
+        "user_id * 10 + event_id % 7 AS id", "event_id AS seq", "CASE WHEN event_type = 'error' THEN 'retire' ELSE 'add' END AS op", "value"
+    )
+    return O.live_notes(ops, "id", "seq", "op", ["value"])
+
+
+@query("Z7", """
+WITH r AS (SELECT event_id, sha256(concat('{"event_type":"', event_type, '","user_id":', CAST(user_id AS VARCHAR), '}')) AS key FROM events)
+, c AS (SELECT DISTINCT sha256(concat('{"event_type":"', event_type, '","user_id":', CAST(user_id AS VARCHAR), '}')) AS key FROM events WHERE value > 60)
+SELECT r.key, count(*) AS requests, count(c.key) AS hits FROM r LEFT JOIN c ON c.key = r.key GROUP BY 1""")
+def request_cache(t: Tables) -> DataFrame:
+    asked = t.events.select("event_id", "value", O.request_key("user_id", "event_type").alias("key"))
+    cache = asked.filter("value > 60").groupBy("key").agg(F.max("value").alias("cached"))
+    j = O.with_cached(asked.select("event_id", "key"), cache, "key", "cached")
+    return j.groupBy("key").agg(F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits"))
+
+
+@query("Z8 A29", """
+WITH m AS (SELECT event_id, ts, CAST(round(value * 100) AS BIGINT) AS cents FROM events)
+, s AS (SELECT event_id, cents, CAST(sum(cents) OVER (ORDER BY ts, event_id) AS BIGINT) AS spent FROM m)
+SELECT event_id, spent, spent - cents >= 5000000 AS refused FROM s""")
+def budget_stop(t: Tables) -> DataFrame:
+    m = t.events.select("event_id", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return O.spend(m, "cents", ["ts", "event_id"], 5000000).select("event_id", "spent", "refused")
+
+
+@query("A29", """
+SELECT event_type, count(*) AS calls, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, max(ts) AS last_call FROM events GROUP BY 1""")
+def metered_cost(t: Tables) -> DataFrame:
+    return t.events.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("calls"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.max("ts").alias("last_call")
+    )
+
+
+@query("Z1 Z4 K7", f"SELECT {_STEP} AS step, count(DISTINCT 1) AS kept FROM events GROUP BY 1")
+def streamed_steps(t: Tables) -> DataFrame:
+    """The same done-set, built by a stream that keeps each step once."""
+    base = f"{shared_dir(t.spark)}/steps-{uuid.uuid4().hex}"
+    stream = eventlog.parquet_stream(t.spark, t.folder, "events.parquet").selectExpr(f"{_STEP} AS step", "event_id")
+    eventlog.ingest(eventlog.once_per_step(stream, "step"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").groupBy("step").agg(F.count(F.lit(1)).alias("kept"))
