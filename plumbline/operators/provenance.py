@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import names as N
 from plumbline.functions import text as X
 from plumbline.operators.containment import contained
+from plumbline.session import stage
 
 DISTINCTIVE_WORDS = 6
 FIRST_HITS = 3
@@ -27,6 +28,7 @@ def probe_hits(probes: DataFrame, corpus: DataFrame, key: str, frag: str, doc_id
     fragments once; the middle words count only where no document holds the
     whole fragment.
     """
+    probes = stage(probes.select(key, frag))
     asked = probes.select(F.col(frag).alias("_orig")).distinct()
     forms = F.array(
         F.struct(F.lit(0).alias("stage"), F.col("_orig").alias("probe")),

@@ -19,15 +19,18 @@ def salted_join(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    count_on: DataFrame | None = None,
 ) -> DataFrame:
     """Join where single keys of ``left`` may be hot and ``right`` is unique on the key.
 
     Rows of a hot key are spread over ``salts`` sub-keys by a hash of their own
     columns, so a retried task places a row where the first attempt placed it;
-    only the hot keys of ``right`` are repeated.
+    only the hot keys of ``right`` are repeated. ``count_on`` is a cheaper frame
+    with the same keys to count, for a ``left`` that is costly to compute; the
+    counts decide balance only.
     """
     hot = (
-        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
+        (left if count_on is None else count_on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
         .select(*on, F.lit(True).alias("_hot"))
     )
     marked = left.join(F.broadcast(hot), on, "left").withColumn(

@@ -14,7 +14,7 @@ from plumbline.operators import retrieval as Q
 from plumbline.operators import verdicts as D
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
-from plumbline.session import Tables, spread
+from plumbline.session import Tables, spread, stage
 
 NORM = V.nz("text")
 
@@ -40,6 +40,7 @@ WITH {V.DOC_QUOTES}, d AS (SELECT doc_id, {NORM} AS n FROM documents)
 SELECT quote_doc, count(*) AS holders, count(DISTINCT frag) AS fragments, min(d.doc_id) AS first_doc FROM f JOIN d ON contains(d.n, f.frag) GROUP BY 1""")
 def quote_fragments_in_corpus(t: Tables) -> DataFrame:
     f = V.doc_quotes(t).select(F.col("doc_id").alias("quote_doc"), F.explode(X.fragments("quote", "literal")).alias("frag"))
+    f = stage(f)
     unique = f.select("frag").distinct().withColumn("fid", F.col("frag"))
     pairs = J.contained(unique, corpus(t), frag_id="fid", frag="frag", doc_id="doc_id", text="norm")
     return f.join(pairs, f.frag == pairs.fid).groupBy("quote_doc").agg(
@@ -54,10 +55,12 @@ WITH {V.QUOTES}, d AS (SELECT {NORM} AS n FROM documents)
 SELECT item_id, form, count(*) AS fragments, bool_and(found) AS exists_anywhere FROM f JOIN hit ON hit.frag = f.frag GROUP BY 1, 2""")
 def language_exists_anywhere(t: Tables) -> DataFrame:
     f = V.quotes(t).select("item_id", "form", F.explode(X.fragments("quote", "literal")).alias("frag"))
+    f = stage(f)
     unique = f.select("frag").distinct().withColumn("fid", F.col("frag"))
     docs = corpus(t)
     plain = J.contained(unique, docs, frag_id="fid", frag="frag", doc_id="doc_id", text="norm").select("fid").distinct()
     # only what the plain search misses is looked for without spaces
+    plain = stage(plain)
     missed = unique.join(plain, "fid", "left_anti")
     gapless = J.contained_gapless(missed, docs, frag_id="fid", frag="frag", doc_id="doc_id", text="norm")
     found = plain.unionByName(gapless.select("fid").distinct()).select(F.col("fid").alias("frag"), F.lit(True).alias("hit"))
@@ -103,7 +106,7 @@ def _captions(t: Tables) -> DataFrame:
   FROM fm LEFT JOIN top ON top.q = fm.doc_id LEFT JOIN d a ON a.doc_id = fm.att GROUP BY 1)
 SELECT q, hits, CASE WHEN hits = 0 THEN 'not_in_corpus' WHEN own THEN 'found_in_attributed' WHEN distinctive THEN 'misattributed' ELSE 'generic_phrase_match' END AS cls FROM j""")
 def provenance_classes(t: Tables) -> DataFrame:
-    probes = _probes(t, "literal")
+    probes = stage(_probes(t, "literal"))
     hits = S.probe_hits(probes, corpus(t), "q", "frag", "doc_id", "norm")
     caps = _captions(t)
     top = S.first_hits(hits, "q", "doc_id", S.FIRST_HITS).join(caps, "doc_id").select("q", "probe", "taken", "caption")

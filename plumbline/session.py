@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,13 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def stage(df: DataFrame) -> DataFrame:
+    """Write a narrow intermediate table to the shared folder and read it back.
+
+    For a table that several branches of a plan use: it is computed once, and a
+    lost executor reads it again instead of computing it again.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -79,6 +82,3 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
 
-
-def as_long(column) -> "F.Column":
-    return F.col(column).cast("long") if isinstance(column, str) else column.cast("long")
