@@ -106,7 +106,7 @@ def holm(tests: DataFrame, family: list[str], p: str, order: list[str], out: str
     group = Window.partitionBy(*family)
     rank = F.row_number().over(group.orderBy(F.col("_p").asc_nulls_last(), *order))
     m = F.count("_p").over(group)
-    return tests.withColumn(out, F.least(F.lit(1.0), F.col("_p") * (m - rank + 1))).drop("_p")
+    return tests.withColumn(out, F.when(F.col("_p").isNotNull(), F.least(F.lit(1.0), F.col("_p") * (m - rank + 1)))).drop("_p")
 
 
 def signed_rank(pairs: DataFrame, group: list[str], diff: str) -> DataFrame:

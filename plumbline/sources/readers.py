@@ -56,7 +56,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def drafts(spark: SparkSession, path: str) -> DataFrame:
     """Draft files with model, matter and condition taken from the path."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     part = lambda i: F.regexp_extract("path", DRAFT_NAME, i)
     return raw.filter(F.col("path").rlike(DRAFT_NAME)).select(
         part(1).alias("model"), part(2).alias("matter"), part(3).alias("condition"), F.col("value").alias("text")
@@ -65,7 +65,7 @@ def drafts(spark: SparkSession, path: str) -> DataFrame:
 
 def revisions(spark: SparkSession, path: str) -> DataFrame:
     """Revision files with the round number as an integer, so that round 10 follows round 9."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     part = lambda i: F.regexp_extract("path", REVISION_NAME, i)
     return raw.filter(F.col("path").rlike(REVISION_NAME)).select(
         part(1).alias("model"), part(2).alias("matter"), part(3).alias("arm"), part(4).cast("int").alias("round"),
@@ -75,7 +75,7 @@ def revisions(spark: SparkSession, path: str) -> DataFrame:
 
 def keyed_tree(spark: SparkSession, path: str) -> DataFrame:
     """``volume_reporter_page.txt`` (or ``volume_page.txt``, U.S. Reports) files as keyed texts."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1)
     parts = F.split(stem, "_")
     keyed = raw.select(parts.alias("p"), F.col("value").alias("text"))
@@ -90,7 +90,7 @@ def labelled_texts(spark: SparkSession, labels: str, texts: str) -> DataFrame:
     """Texts keyed by the U.S. Reports citation that a label file in the same directory carries."""
     folder = F.regexp_extract(F.input_file_name(), r"^(.*)/[^/]+$", 1)
     lab = spark.read.schema("citation string").option("multiLine", True).json(labels).select(folder.alias("dir"), "citation")
-    txt = spark.read.option("wholetext", True).text(texts).select(folder.alias("dir"), F.col("value").alias("text"))
+    txt = spark.read.text(texts, wholetext=True).select(folder.alias("dir"), F.col("value").alias("text"))
     keyed = lab.filter(F.col("citation").rlike(US_CITE)).select(
         "dir", F.regexp_extract("citation", US_CITE, 1).alias("volume"), F.lit("US").alias("reporter_norm"),
         F.regexp_extract("citation", US_CITE, 2).alias("page"),
