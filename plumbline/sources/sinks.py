@@ -38,3 +38,9 @@ def markdown_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One Markdown table line per row."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("—")) for c in columns]
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def check_claims(claims: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Does the text under a key match the pattern a recorded value leads one to expect?"""
+    joined = claims.join(texts, key, "left")
+    return joined.withColumn("holds", F.coalesce(F.expr("text rlike pattern"), F.lit(False)))

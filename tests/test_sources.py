@@ -169,3 +169,20 @@ def test_quota_selection_equals_the_plain_fold(spark):
 def test_strided_sample(spark):
     got = [r.i for r in M.strided(spark.range(103).withColumnRenamed("id", "i"), ["i"], 10).orderBy("i").collect()]
     assert got == list(range(0, 100, 10))
+
+
+def test_claims_against_texts(spark):
+    claims = spark.createDataFrame([("a", r"\b94\.5%"), ("b", r"\b12 of 40\b"), ("c", "x")], "k string, pattern string")
+    texts = spark.createDataFrame([("a", "traced in 94.5% of cases"), ("b", "112 of 40")], "k string, text string")
+    assert {r.k: r.holds for r in sinks.check_claims(claims, texts, "k").collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_json_table_and_log_append(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "n int, s string")
+    for _ in range(2):
+        sinks.append_log(rows, f"{tmp_path}/log")
+        sinks.json_table(rows, f"{tmp_path}/table")
+        sinks.csv_table(rows, f"{tmp_path}/csv")
+    assert spark.read.json(f"{tmp_path}/log").count() == 2
+    assert spark.read.json(f"{tmp_path}/table").count() == 1
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").first().s == "a"
