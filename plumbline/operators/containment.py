@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import let
 from plumbline.session import union_all
 
-# Anchors up to this many rows are broadcast (about 50 bytes each); beyond it
-# the join shuffles keys only and fetches the texts of the meeting pairs.
-BROADCAST_ANCHORS = 500_000
+# Fragments up to this many bytes, keys included, are broadcast; beyond it the
+# join shuffles keys only and fetches the texts of the meeting pairs.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 64
 AFFIX = 7
 GRAM = 15
 GAPLESS_GRAM = 8
@@ -118,8 +119,13 @@ def _meet(anchors: DataFrame, docs: DataFrame, doc_id: str, text: str, keys: Col
     return pairs.join(docs.select(doc_id, text), doc_id)
 
 
-def _strategy(rows: int, limit: int) -> str:
-    return "broadcast" if rows <= limit else "shuffle"
+def _bytes(frag: str) -> Column:
+    """Size of a set of fragments: the text, an identifier that may repeat it, and the row."""
+    return F.sum(2 * F.octet_length(frag) + ROW_BYTES)
+
+
+def _strategy(size: int, limit: int) -> str:
+    return "broadcast" if size <= limit else "shuffle"
 
 
 def contained(
@@ -131,7 +137,7 @@ def contained(
     doc_id: str,
     text: str,
     extra: dict[str, Column] | None = None,
-    limit: int = BROADCAST_ANCHORS,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(frag_id, doc_id, *extra) for every document whose text holds the fragment as a substring.
 
@@ -141,7 +147,7 @@ def contained(
     # a text that cannot be null keeps the optimizer from testing, and so computing, it twice
     docs = docs.select(doc_id, F.coalesce(text, F.lit("")).alias(text))
     anchored = with_anchor(frags.select(frag_id, F.coalesce(frag, F.lit("")).alias(frag)), frag)
-    sizes = dict(anchored.groupBy("_kind").count().collect())  # at most five rows
+    sizes = dict(anchored.groupBy("_kind").agg(_bytes(frag)).collect())  # at most five rows
     found = []
     keyed = set(sizes) - {BARE}
     if keyed:
@@ -166,7 +172,7 @@ def contained_gapless(
     frag: str,
     doc_id: str,
     text: str,
-    limit: int = BROADCAST_ANCHORS,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Like :func:`contained` on texts and fragments without their spaces.
 
@@ -178,9 +184,10 @@ def contained_gapless(
     anchors = bare.withColumn("_anchor", F.xxhash64(F.left("_f", F.lit(GAPLESS_GRAM)))).filter(
         F.length("_f") >= GAPLESS_GRAM
     )
+    size = anchors.agg(_bytes("_f")).first()[0] or 0
     runs = F.regexp_extract_all("_t", F.lit(rf"(?=(.{{{GAPLESS_GRAM}}}))"), F.lit(1))  # overlapping, in linear time
     keys = F.array_distinct(F.transform(runs, lambda g: F.xxhash64(g)))
-    pairs = _meet(anchors, solid, doc_id, "_t", keys, _strategy(anchors.count(), limit)).select(frag_id, "_f", doc_id, "_t")
+    pairs = _meet(anchors, solid, doc_id, "_t", keys, _strategy(size, limit)).select(frag_id, "_f", doc_id, "_t")
     short = bare.filter(F.length("_f") < GAPLESS_GRAM)
     rest = solid.join(short, F.contains(F.col("_t"), F.col("_f"))).select(frag_id, "_f", doc_id, "_t")
     return (

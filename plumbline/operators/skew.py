@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with at least this many rows on the left is salted. The number of such
-# keys is at most rows / HOT_ROWS, which bounds what is broadcast.
+from plumbline.session import stage
+
+# A key with about this many rows on the left is salted. At most rows / HOT_ROWS
+# keys can be, which bounds what is broadcast.
 HOT_ROWS = 1_000_000
 SALTS = 64
+# Share of the rows looked at to find hot keys; it decides balance only.
+LOOK_AT = 0.01
+SMALL_ROWS = 200_000
+
+
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, look_at: float = LOOK_AT) -> DataFrame | None:
+    """The keys that need salting as a small written table, or None.
+
+    The table is written so that both sides of a join see the same keys, on
+    every retry.
+    """
+    seen = df.select(*on) if look_at >= 1 else df.select(*on).sample(look_at, seed=11)
+    counted = seen.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    hot = stage(counted.filter(F.col("_n") >= max(1.0, hot_rows * look_at)).select(*on, F.lit(True).alias("_hot")))
+    return None if hot.isEmpty() else hot
 
 
 def salted_join(
@@ -20,19 +37,18 @@ def salted_join(
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
     count_on: DataFrame | None = None,
+    look_at: float = LOOK_AT,
 ) -> DataFrame:
     """Join where single keys of ``left`` may be hot and ``right`` is unique on the key.
 
     Rows of a hot key are spread over ``salts`` sub-keys by a hash of their own
     columns, so a retried task places a row where the first attempt placed it;
-    only the hot keys of ``right`` are repeated. ``count_on`` is a cheaper frame
-    with the same keys to count, for a ``left`` that is costly to compute; the
-    counts decide balance only.
+    only the hot keys of ``right`` are repeated. Without hot keys it is a plain
+    join. ``count_on`` is a cheaper frame with the same keys to look at.
     """
-    hot = (
-        (left if count_on is None else count_on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
+    hot = hot_keys(left if count_on is None else count_on, on, hot_rows, look_at)
+    if hot is None:
+        return left.join(right, on, how)
     marked = left.join(F.broadcast(hot), on, "left").withColumn(
         "_salt",
         F.when(F.col("_hot"), F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
@@ -44,6 +60,19 @@ def salted_join(
     return marked.drop("_hot").join(repeated.drop("_hot"), [*on, "_salt"], how).drop("_salt")
 
 
+def attach(left: DataFrame, right: DataFrame, on: list[str], row_id: list[str], how: str = "left") -> DataFrame:
+    """Join a table of few keys, unique on them, to many rows.
+
+    Few keys mean large groups, so the left side must not be shuffled by them.
+    The right side is written and counted: small, it is broadcast; else the
+    join is salted.
+    """
+    table = stage(right)
+    if table.count() <= SMALL_ROWS:
+        return left.join(F.broadcast(table), on, how)
+    return salted_join(left, table, on, row_id, how)
+
+
 def _cut_points(df: DataFrame, order_by: list[str], rows_per_bucket: int) -> list:
     """Key values that split the rows into even ordered ranges; a bounded sample reaches the driver."""
     total = df.count()

@@ -10,6 +10,7 @@ from plumbline.functions import text as X
 from plumbline.operators import episodes as O
 from plumbline.operators import resolve as P
 from plumbline.operators import verdicts as D
+from plumbline.operators.skew import salted_join
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.session import Tables
@@ -48,7 +49,7 @@ def final_revisions(t: Tables) -> DataFrame:
 SELECT arm, count(*) FILTER (v0='not_found') AS nf_r0, count(*) FILTER (v0='not_found' AND v1 IS NULL) AS nf_removed, count(*) FILTER (v0='not_found' AND v1 IS NOT NULL) AS nf_kept,
   count(*) FILTER (v0 IS NULL) AS new_n, count(*) FILTER (v0 IS NULL AND v1='exists') AS new_exists, count(*) FILTER (v0 IS NULL AND v1<>'exists') AS new_other FROM j GROUP BY 1""")
 def existence_trace(t: Tables) -> DataFrame:
-    i = items(t).join(ends(t), ["conv_id", "arm"])
+    i = salted_join(items(t), ends(t), ["conv_id", "arm"], ["turn", "w"], "inner")
     per = O.trace(i.filter("turn = t0"), i.filter("turn = t1"), ["conv_id", "arm"], "w", "verdict")
     names = ["nf_r0", "nf_removed", "nf_kept", "new_n", "new_exists", "new_other"]
     return per.groupBy("arm").agg(*[F.sum(n).alias(n) for n in names])
@@ -140,7 +141,7 @@ def removal_rates(t: Tables) -> DataFrame:
 
 
 def _removal(t: Tables) -> DataFrame:
-    i = items(t).join(ends(t), ["conv_id", "arm"])
+    i = salted_join(items(t), ends(t), ["conv_id", "arm"], ["turn", "w"], "inner")
     a = i.filter("turn = t0 AND verdict = 'exists'").select("conv_id", "arm", "w")
     z = i.filter("turn = t1").select("conv_id", "w", F.lit(1).alias("still"))
     c = a.join(z, ["conv_id", "w"], "left").groupBy("arm").agg(F.count(F.lit(1)).alias("acc_r0"), F.count_if(F.col("still").isNull()).alias("removed"))

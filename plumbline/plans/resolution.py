@@ -11,6 +11,7 @@ from plumbline.functions import rates as R
 from plumbline.operators import cells as O
 from plumbline.operators import resolve as P
 from plumbline.operators import sampling as S
+from plumbline.operators.skew import salted_join
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.session import Tables
@@ -125,7 +126,8 @@ def era_and_baseline_membership(t: Tables) -> DataFrame:
     r = _resolved(t)
     key = ["volume", "rep_key", "page"]
     base = r.filter("condition = 'baseline' AND page IS NOT NULL").select(*key).distinct().withColumn("_in", F.lit(True))
-    e = r.withColumn("era", F.coalesce(C.era(C.year_of("date_filed")), F.lit("undated"))).join(base, key, "left")
+    e = r.withColumn("era", F.coalesce(C.era(C.year_of("date_filed")), F.lit("undated")))
+    e = salted_join(e, base, key, V.ROW_ID)
     return e.groupBy("condition", "verdict", "era", F.col("_in").isNotNull().alias("in_baseline")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -205,7 +207,7 @@ def share_among_retrieved(t: Tables) -> DataFrame:
     ten = O.top_per_group(c, ["volume"], [F.col("date_filed"), F.col("cluster_id")], 10, "i")
     listed = ten.select("volume", C.reporter_key("reporter").alias("rep_key"), "page").distinct().withColumn("_l", F.lit(1))
     claimed = V.claims(t).withColumn("rep_key", C.reporter_key("reporter"))
-    j = claimed.join(listed, ["volume", "rep_key", "page"], "left")
+    j = salted_join(claimed, listed, ["volume", "rep_key", "page"], V.ROW_ID)
     return j.groupBy("condition").agg(
         F.count(F.lit(1)).alias("cites"), F.count("_l").alias("among_ten"),
         R.share(F.count("_l"), F.count(F.lit(1))).alias("share"),
@@ -253,8 +255,8 @@ SELECT condition, count(*) AS known FROM claims WHERE page IS NOT NULL AND
 def known_stems(t: Tables) -> DataFrame:
     stem = F.concat_ws("_", "volume", F.translate("reporter", " .", ""), "page").alias("stem")
     stems = V.index(t).select(stem).distinct()
-    c = V.claims(t).filter("page IS NOT NULL").select("condition", stem)
-    return c.join(stems, "stem", "left_semi").groupBy("condition").agg(F.count(F.lit(1)).alias("known"))
+    c = V.claims(t).filter("page IS NOT NULL").select("condition", stem, *V.ROW_ID)
+    return salted_join(c, stems, ["stem"], V.ROW_ID, "left_semi").groupBy("condition").agg(F.count(F.lit(1)).alias("known"))
 
 
 @query("S15", "SELECT doc_id, lang, length(text) AS n FROM documents WHERE length(text) BETWEEN 1500 AND 6000")

@@ -12,6 +12,7 @@ from plumbline.operators import containment as J
 from plumbline.operators import provenance as S
 from plumbline.operators import retrieval as Q
 from plumbline.operators import verdicts as D
+from plumbline.operators.skew import attach
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.session import Tables, spread, stage
@@ -237,7 +238,7 @@ def nearest_to_label_mean(t: Tables) -> DataFrame:
     )
     length = lambda c: F.sqrt(Q.cosine(c, c))
     sim = F.round(Q.cosine("v", "c") / length("v") / length("c"), 6)
-    s = e.join(means, "label").select("label", "vec_id", sim.alias("sim"))
+    s = attach(e, means, ["label"], ["vec_id"], "inner").select("label", "vec_id", sim.alias("sim"))
     order = Window.partitionBy("label").orderBy(F.desc("sim"), F.desc("vec_id"))
     top = s.withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
     return top.select("label", "vec_id", F.col("rank").cast("long").alias("rank"), "sim")

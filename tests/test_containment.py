@@ -26,7 +26,7 @@ def fragments(docs, seed):
     return sorted({f for f in out if f})
 
 
-@pytest.mark.parametrize("limit", [J.BROADCAST_ANCHORS, 0])
+@pytest.mark.parametrize("limit", [J.BROADCAST_BYTES, 0])
 def test_contained(spark, limit):
     docs = corpus(1, 40)
     frags = fragments(docs, 2)
@@ -40,7 +40,7 @@ def test_contained(spark, limit):
     assert len(rows) == len(set(rows)) and set(rows) == expect
 
 
-@pytest.mark.parametrize("limit", [J.BROADCAST_ANCHORS, 0])
+@pytest.mark.parametrize("limit", [J.BROADCAST_BYTES, 0])
 def test_contained_gapless(spark, limit):
     docs = corpus(3, 30) + ["", "ap plication of the sta tute"]
     frags = fragments(docs, 4) + ["application of the statute"]

@@ -16,7 +16,7 @@ def test_salted_join_equals_join(spark):
     left = left.unionByName(left.filter("row < 5"))  # repeated rows stay repeated
     right = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("left", "inner"):
-        salted = S.salted_join(left, right, ["k"], ["row"], how, hot_rows=500, salts=7)
+        salted = S.salted_join(left, right, ["k"], ["row"], how, hot_rows=500, salts=7, look_at=1.0)
         assert rows(salted.select("k", "row", "v")) == rows(left.join(right, "k", how).select("k", "row", "v"))
 
 
