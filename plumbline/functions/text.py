@@ -136,19 +136,24 @@ def spans(text, pattern: str) -> Column:
     so a start is the summed length of everything before it.
     """
     text = _col(text)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    steps = F.zip_with(gaps, F.transform(hits, lambda h: F.length(h)), lambda g, h: g + F.coalesce(h, F.lit(0)))
-    bound = F.struct(hits.alias("hits"), gaps.alias("gaps"), steps.alias("steps"))
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
+        F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gaps"),
+    )
 
     def place(b: Column) -> Column:
-        def one(hit: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(b["steps"], F.lit(1), i), F.lit(0), lambda x, y: x + y)
-            return F.struct((before + F.get(b["gaps"], i)).alias("start"), hit.alias("body"))
+        steps = F.zip_with(b["gaps"], b["hits"], lambda g, h: g + F.coalesce(F.length(h), F.lit(0)))
+
+        def starts(st: Column) -> Column:
+            def one(hit: Column, i: Column) -> Column:
+                before = F.aggregate(F.slice(st, F.lit(1), i), F.lit(0), lambda x, y: x + y)
+                return F.struct((before + F.get(b["gaps"], i)).alias("start"), hit.alias("body"))
+
+            return F.transform(b["hits"], one)
 
-        return F.transform(b["hits"], one)
+        return let(steps, starts)
 
-    return let(bound, place)
+    return let(found, place)
 
 
 def quote_spans(text) -> Column:

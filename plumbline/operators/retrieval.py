@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import text as X
 from plumbline.operators.skew import salted_join
+from plumbline.session import stage
 
 # --- fixed values -----------------------------------------------------------
 HEAD_WORDS = 2500
@@ -58,10 +59,10 @@ def tfidf_scores(
     max_df: float = 0.5, stop: list[str] = QUERY_STOP,
 ) -> DataFrame:
     """(query_id, doc_id, sim) for pairs that share a term; the vocabulary is fitted on the texts."""
-    counts = term_counts(docs, doc_id, text, stop)
-    table = idf(counts, docs.agg(F.count(F.lit(1)).alias("n")), min_df, max_df)
+    counts = stage(term_counts(docs, doc_id, text, stop))  # tokenised once; three branches read it
+    table = stage(idf(counts, docs.agg(F.count(F.lit(1)).alias("n")), min_df, max_df))
     d = weights(counts, table, doc_id)
-    q = weights(term_counts(queries, query_id, text, stop), table, query_id).withColumnRenamed("w", "wq")
+    q = weights(stage(term_counts(queries, query_id, text, stop)), table, query_id).withColumnRenamed("w", "wq")
     pairs = d.join(q, "term").groupBy(query_id, doc_id).agg(F.sum(F.col("w") * F.col("wq")).alias("sim"))
     # equal texts must tie exactly, whatever the order of the sum
     return pairs.withColumn("sim", F.round("sim", 9))
