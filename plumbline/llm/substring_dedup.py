@@ -8,7 +8,9 @@ sparse count-min sketch; the sketches are merged by block of cells, and what is
 left of the merged sketch is one bit per cell: counted twice or more. A second
 pass emits only the windows whose anchor is twice or more in every row of the
 sketch - it overestimates, so no repeated window is lost - and an exact
-grouping of their 96-bit hashes decides.
+grouping of their 96-bit hashes decides. A task first decides among its own
+documents: of equal windows only those of its earliest document are sent on, so a
+passage that a third of all documents share sends one row a task, not one a document.
 
 The sketch grows with the text (`cells_per_anchor`) up to `max_cells` a row,
 which bounds the broadcast to `depth * max_cells / 8` bytes; beyond that more
@@ -27,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import words as W
-from plumbline.llm.tables import split_small, stage, text_key
+from plumbline.llm.tables import split_small, text_key
 
 BLOCK = 1 << 16
 FLUSH = 4 << 20
@@ -128,57 +130,82 @@ def repeated_bits(docs: DataFrame, length: int, bits: int, depth: int) -> bytes:
     return out.tobytes()
 
 
+def _decide(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Of the equal windows found, send those of the earliest document on; the others are repeats already."""
+    if not found:
+        return
+    h1, h2, doc_id, key, pos = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((doc_id, h2, h1))
+    h1, h2, doc_id, key, pos = (c[order] for c in (h1, h2, doc_id, key, pos))
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    late = doc_id > doc_id[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    open_ = ~late
+    yield _rows(h1[open_], h2[open_], doc_id[open_], key[open_], pos[open_], None)
+    doc_id, key, pos = doc_id[late], key[late], pos[late]
+    order = np.lexsort((key, doc_id))
+    doc_id, key, pos = doc_id[order], key[order], pos[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(doc_id) != 0) | (np.diff(key) != 0)]) if len(pos) else np.zeros(0, np.int64)
+    packed = [x.tobytes() for x in np.split(pos, first[1:])] if len(pos) else []
+    spread = W.mix(doc_id[first].view(W.U64))
+    yield _rows(spread.view(np.int64), np.zeros(len(first), np.int32), doc_id[first], key[first], np.full(len(first), -1, np.int32), packed)
+
+
+def _rows(h1, h2, doc_id, key, pos, packed) -> pa.RecordBatch:
+    packed = pa.nulls(len(h1), pa.binary()) if packed is None else pa.array(packed, pa.binary())
+    return pa.RecordBatch.from_arrays([*map(pa.array, (h1, h2, doc_id, key, pos)), packed], ["h1", "h2", "doc_id", "key", "pos", "packed"])
+
+
 def _emit(length: int, bits: int, depth: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.frombuffer(shared.value, np.uint8)
+        sketch, found, n = np.frombuffer(shared.value, np.uint8), [], 0
         for piece in W.pieces(batches):
             doc, at_word, hashes, anchor, first = _anchors(piece, length)
-            if not len(doc):
-                continue
             ok = np.ones(len(doc), bool)
             for cell in _cells(anchor, bits, depth):
                 ok &= (sketch[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
             doc, at_word = doc[ok], at_word[ok]
             if not len(doc):
                 continue
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(W.windows(hashes, length)[at_word].view(np.int64)),
-                    pa.array((W.windows(hashes, length, W.OTHER_BASE)[at_word] >> W.U64(32)).astype(np.uint32).view(np.int32)),
-                    piece.column("doc_id").take(take),
-                    piece.column("key").take(take),
-                    pa.array((at_word - first[doc]).astype(np.int32)),
-                ],
-                ["h1", "h2", "doc_id", "key", "pos"],
-            )
+            found.append((
+                W.windows(hashes, length)[at_word].view(np.int64),
+                (W.windows(hashes, length, W.OTHER_BASE)[at_word] >> W.U64(32)).astype(np.uint32).view(np.int32),
+                piece.column("doc_id").to_numpy()[doc],
+                piece.column("key").to_numpy()[doc],
+                (at_word - first[doc]).astype(np.int32),
+            ))
+            n += len(doc)
+            if n > FLUSH // 2:
+                yield from _decide(found)
+                found, n = [], 0
+        yield from _decide(found)
 
     return run
 
 
 def repeats(docs: DataFrame, length: int = 50, depth: int = 2, cells_per_anchor: int = 4, max_cells: int = 1 << 29) -> DataFrame:
-    """Per document (doc_id, key = text_key) the first words of its windows that an earlier document holds too."""
+    """Per document (doc_id, key = text_key) the first words of its windows that an earlier document holds too: `drops`, and `packed` int32."""
     keyed = split_small(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text", text_key(F.col("text")).alias("key")))
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors = max(1, size // (3 * length))  # about two anchors in `length // 2` words of six bytes
     bits = min(max(16, math.ceil(math.log2(anchors * cells_per_anchor))), int(math.log2(max_cells)))
     shared = docs.sparkSession.sparkContext.broadcast(repeated_bits(keyed, length, bits, depth))
-    found = stage(keyed.mapInArrow(_emit(length, bits, depth, shared), "h1 long, h2 int, doc_id long, key int, pos int"))
-    shared_by = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared_by = shared_by.where("least < most").drop("most")
-    late = found.join(shared_by, ["h1", "h2"]).where("doc_id > least")
-    return late.groupBy("doc_id", "key").agg(F.collect_list("pos").alias("drops"))
+    found = keyed.mapInArrow(_emit(length, bits, depth, shared), "h1 long, h2 int, doc_id long, key int, pos int, packed binary")
+    same = Window.partitionBy("h1", "h2").orderBy("doc_id")  # a row for each task that holds the window, and running: nothing is gathered
+    late = found.withColumn("least", F.first("doc_id").over(same)).where("packed is not null or doc_id > least")
+    return late.groupBy("doc_id", "key").agg(F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("drops"), F.collect_list("packed").alias("packed"))
 
 
 def _apply(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in W.pieces(batches, 8 << 20):
             kept_texts, n_words, n_removed = [], [], []
-            for text, drops in zip(piece.column("text"), piece.column("drops")):
+            for text, drops, packed in zip(piece.column("text"), piece.column("drops"), piece.column("packed")):
                 words = (text.as_py() or "").encode().split()  # bytes.split knows ASCII white space only
                 n_words.append(len(words))
                 if drops.is_valid:
-                    gone = W.cover(drops.values.to_numpy(), length, len(words))
+                    places = [drops.values.to_numpy(), *(np.frombuffer(x, np.int32) for x in packed.as_py())]
+                    gone = W.cover(np.concatenate(places), length, len(words))
                     words = [w for w, out in zip(words, gone) if not out]
                 n_removed.append(n_words[-1] - len(words))
                 kept_texts.append(b" ".join(words).decode())
@@ -194,7 +221,7 @@ def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words, joined by one space, as `text`."""
     drops = repeats(docs, length)
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
-    joined = keyed.join(drops, ["doc_id", "key"], "left").select("doc_id", "text", "drops")
+    joined = keyed.join(drops, ["doc_id", "key"], "left").select("doc_id", "text", "drops", "packed")
     kind = dict(docs.dtypes)["doc_id"]
     return joined.mapInArrow(_apply(length), f"doc_id {kind}, n_words long, n_removed long, text string")
 
