@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, fingerprints, shards, substring_dedup, token_files, url_filter
+from plumbline.llm import decontaminate, fingerprints, line_dedup, near_dedup, shards, substring_dedup, token_files, toxicity, transducer, url_filter
 from plumbline.llm.tables import read
 
 
@@ -15,6 +15,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(read(spark, sf_dir, "documents")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +38,16 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(shards.shuffle_into_shards(read(spark, sf_dir, "documents")))
 
 
+def op7_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return transducer.encoded_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ("doc_id",))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -38,12 +56,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(read(spark, sf_dir, "documents"))
 
 
+OPERATORS = (
+    op1_substring_dedup, op2_toxicity, op3_near_dedup, op4_token_files, op5_url_filter,
+    op6_shards, op7_transducer, op8_line_dedup, op9_decontaminate, op10_fingerprints,
+)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (op1_substring_dedup, op4_token_files, op5_url_filter, op6_shards, op9_decontaminate, op10_fingerprints)
-    }
+    return {f.__name__: f for f in (*OPERATORS, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": line_dedup.ORACLE}

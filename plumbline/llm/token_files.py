@@ -21,9 +21,9 @@ systems read; it must be shared.
 Texts are encoded by the tokenizers library. A text is cut before each single
 space between two characters that are not white space - a boundary of the byte
 level pre-tokenizer, so the ids of the parts are the ids of the whole - and each
-distinct part is encoded once per worker (up to `CACHE` parts are kept; then the
-store is emptied). Texts with white space in a row or with a special token's
-string are encoded whole.
+distinct part is encoded once per worker (about `CACHE` parts are kept; then the
+store is emptied). Texts with other white space beside a space or with a special
+token's string are encoded whole.
 
 Defined results: null and empty texts give the end id alone; rows of equal
 doc_id are ordered by their text's hash, rows equal in both are adjacent and
@@ -32,7 +32,6 @@ interchangeable; null doc_ids come first. An empty table gives no file and no ro
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,7 +46,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.tables import shared_dir, stage, text_key
 from plumbline.llm.words import pieces
 
-CACHE = 400_000
+CACHE = 1_000_000
 _STATE: dict = {}
 
 
@@ -63,12 +62,12 @@ class Encoder:
         self.opens = np.zeros(size, bool)  # tokens that begin with a space
         for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.opens[k] = token.startswith("Ġ")
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", *map(re.escape, special)]))
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}  # parts behind a space: neither empty nor with white space at an end
+        self.heads: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _learn(self, parts: list[str]) -> None:
         """Encode distinct parts in one string; each begins with its only space, so its first token tells where."""
@@ -77,25 +76,31 @@ class Encoder:
             ids = self.ids(" " + " ".join(some))
             at = np.flatnonzero(self.opens[ids])
             assert len(at) == len(some)
-            for part, x in zip(some, np.split(ids, at[1:])):
-                self.known[part] = x.tobytes()
+            data, cuts = ids.tobytes(), [*(at * ids.itemsize).tolist(), len(ids) * ids.itemsize]
+            self.known.update((part, data[a:b]) for part, a, b in zip(some, cuts, cuts[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of self.dtype."""
         if len(self.known) > CACHE:
-            self.known = {}
-        cut = [None if self.whole.search(t) or t[-1:].isspace() else t.split(" ") for t in texts]
-        known = self.known
-        new = {p for parts in cut if parts for p in parts[1:] if p not in known}
-        if new:
-            self._learn(list(new))
-        known, out = self.known, []
-        for text, parts in zip(texts, cut):
-            if parts is None:
+            self.known.clear()
+        if len(self.heads) > CACHE // 8:
+            self.heads.clear()
+        known, heads, whole = self.known, self.heads, set()
+        cut = [t.split(" ") for t in texts]
+        new = set().union(*cut) - known.keys()
+        bad = {p for p in new if not p or p[0].isspace() or p[-1].isspace() or any(x in p for x in self.special)}
+        if bad:
+            whole = {k for k, parts in enumerate(cut) if not bad.isdisjoint(parts)}
+        self._learn(list(new - bad))
+        out = []
+        for k, (text, parts) in enumerate(zip(texts, cut)):
+            if k in whole:
                 out.append(self.ids(text).tobytes())
-            else:
-                head = self.ids(parts[0]).tobytes() if parts[0] else b""
-                out.append(head + b"".join([known[p] for p in parts[1:]]))
+                continue
+            head = heads.get(parts[0])
+            if head is None:
+                head = heads[parts[0]] = self.ids(parts[0]).tobytes()
+            out.append(head + b"".join([known[p] for p in parts[1:]]))
         return out
 
 
