@@ -146,7 +146,8 @@ def contained(
     """
     # a text that cannot be null keeps the optimizer from testing, and so computing, it twice
     docs = docs.select(doc_id, F.coalesce(text, F.lit("")).alias(text))
-    anchored = with_anchor(frags.select(frag_id, F.coalesce(frag, F.lit("")).alias(frag)), frag)
+    # a null or empty fragment is in no text
+    anchored = with_anchor(frags.select(frag_id, frag).filter(F.length(frag) > 0), frag)
     sizes = dict(anchored.groupBy("_kind").agg(_bytes(frag)).collect())  # at most five rows
     found = []
     keyed = set(sizes) - {BARE}

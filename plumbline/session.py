@@ -32,12 +32,14 @@ def local_session(app: str = "plumbline", cpus: int = 8, **extra: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is set."""
+    """The folder the cluster names for checkpoints; a temporary one only where none is set and the master is local."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
     return sc.getCheckpointDir()
 

@@ -136,8 +136,13 @@ def resync_rows(lines: DataFrame, pos: str, value: str) -> DataFrame:
 
 
 def torn_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Resynchronised rows of a text file; the line order is that of the file."""
-    lines = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
+    """Resynchronised rows of text files; lines are in the order of their files, splits and places in a split.
+
+    Spark packs splits into partitions by size, so the partition's number says nothing of a line's place.
+    """
+    digits = lambda n: F.lpad(n.cast("string"), 20, "0")
+    place = F.concat("_metadata.file_path", F.lit(" "), digits(F.col("_metadata.file_block_start")), digits(F.monotonically_increasing_id()))
+    lines = spark.read.text(path).select("value", place.alias("pos"))
     return resync_rows(lines, "pos", "value")
 
 
