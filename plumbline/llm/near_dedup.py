@@ -7,12 +7,12 @@ the `picks` least are kept in text order: two texts share the sketch if they
 hold the same least k-mers in the same order, which favours texts at a small
 edit distance. Nodes with an equal sketch form a bucket.
 
-Buckets are resolved in rounds without pairing all members: each round compares a
-few centers of a bucket (those with the most company first) with the members of
-other classes so far, links what is similar, and recomputes the classes; centers
-that have been compared leave the bucket, and buckets whose members are all in one
-class are done. Rounds go on, with four times the centers, until every bucket is
-done: only pairs whose classes are joined already are never compared.
+Buckets are resolved without pairing their members: every member is compared with
+the bucket's center, the node with the most company. That is done twice: for the
+buckets themselves, and then, among nodes that are not in one class yet, for the finer buckets of each function with
+each of its `refine` successors, whose members share two sketches. Two texts at the
+threshold share about eight of twenty sketches, so they meet in several buckets of both kinds;
+the number of comparisons is at most one a member and bucket.
 
 A pair is similar if the Jaccard similarity of its k-mer sets is `similar` or
 more. Banded alignment verifies it: d edits change k * d k-mers at most, so an edit
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import words as W
@@ -143,7 +143,8 @@ def are_similar(a: np.ndarray, b: np.ndarray, k: int, similar: float) -> bool:
     if few < similar * many:
         return False
     band = int((1 - similar) / (1 + similar) * few / k)
-    if min(len(a), len(b)) >= k and banded_distance(a, b, band) <= band:
+    # an edit takes one word away and adds one at most: with more words apart no alignment lies in the band
+    if min(len(a), len(b)) >= k and len(np.setxor1d(a, b)) <= 2 * band and banded_distance(a, b, band) <= band:
         return True
     both = len(np.intersect1d(one, two, assume_unique=True))
     return both >= similar * (few + many - both)
@@ -188,35 +189,30 @@ def components(edges: DataFrame) -> DataFrame:
     return stage(edges.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("class"))))
 
 
-def classes(docs: DataFrame, k: int = 5, similar: float = 0.8, sketches: int = 20, picks: int = 4) -> DataFrame:
+def classes(docs: DataFrame, k: int = 5, similar: float = 0.8, sketches: int = 20, picks: int = 4, refine: int = 3) -> DataFrame:
     """node and class of every node that is similar to another."""
     key = ["fn", "sketch"]
     left = buckets(docs, k, sketches, picks)
     members = left.select("node").distinct()
     texts = docs.select(node_of(F.col("text")).alias("node"), "text").join(members, "node").groupBy("node").agg(F.first("text").alias("text"))
     texts = stage(texts)
-    found, centers = None, 1
-    left = left.withColumn("class", F.col("node"))
-    while True:
-        order = Window.partitionBy(*key).orderBy(F.desc("company"), "node")
-        if centers == 1:
-            top = left.groupBy(*key).agg(F.max(F.struct("company", "node", "class")).alias("top")).select(*key, F.col("top.node").alias("a"), F.col("top.class").alias("class_a"))
-        else:
-            top = left.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= centers).select(*key, F.col("node").alias("a"), F.col("class").alias("class_a"))
-        top = stage(top)
-        pairs = left.join(top, key).where("class != class_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        links = stage(with_b.mapInArrow(_verify(k, similar), "a binary, b binary"))
-        found = links if found is None else found.unionByName(links)
-        classed = components(found)
-        rest = left.drop("class").join(top.select(*key, F.col("a").alias("node")), [*key, "node"], "left_anti").join(classed, "node", "left")
-        rest = rest.withColumn("class", F.coalesce("class", "node"))
-        several = rest.groupBy(*key).agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select(*key)
-        left = stage(rest.join(several, key))
-        if not left.head(1):
-            return classed
-        centers *= 4
+    first = components(_links(left, left.select("node", F.col("node").alias("class")).distinct(), key, texts, k, similar))
+    after = left.select("node", F.col("fn").alias("on"), F.col("sketch").alias("other"))
+    steps = F.explode(F.array(*(F.lit(j) for j in range(1, refine + 1)))).alias("by")
+    fine = left.select("*", steps).withColumn("on", ((F.col("fn") + F.col("by")) % sketches).cast("short")).join(after, ["node", "on"])
+    second = _links(fine, first, [*key, "on", "other"], texts, k, similar)
+    return components(second.unionByName(first.select(F.col("node").alias("a"), F.col("class").alias("b"))))
+
+
+def _links(members: DataFrame, classed: DataFrame, key: list[str], texts: DataFrame, k: int, similar: float) -> DataFrame:
+    """The similar pairs (a, b) of a bucket's center and its members of another class."""
+    members = stage(members.join(classed, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    centers = members.groupBy(*key).agg(F.max(F.struct("company", "node", "class")).alias("top"), F.min(F.xxhash64("class")).alias("x"), F.max(F.xxhash64("class")).alias("y"))
+    centers = stage(centers.where("x < y").select(*key, F.col("top.node").alias("a"), F.col("top.class").alias("class_a")))
+    pairs = members.join(centers, key).where("class != class_a").select("a", F.col("node").alias("b")).distinct()
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    with_a = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return stage(with_a.mapInArrow(_verify(k, similar), "a binary, b binary"))
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:

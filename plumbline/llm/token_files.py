@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.tables import shared_dir, stage, text_key
 from plumbline.llm.words import pieces
 
-CACHE = 1_000_000
+CACHE = 500_000
 _STATE: dict = {}
 
 

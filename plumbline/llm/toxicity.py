@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, max_passages
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
-        for piece in pieces(batches, 1 << 20):
+        for piece in pieces(batches, 1 << 18):
             codes, ends = _codes(piece.column("text").to_pylist())
             means, text = passage_scores(codes, ends, weights)
             top = np.full(piece.num_rows, -np.inf)

@@ -40,7 +40,7 @@ from plumbline.llm.tables import split_small
 from plumbline.llm.words import pieces as text_pieces
 
 MARK = "▁"
-CACHE = 1_000_000
+CACHE = 200_000
 LONG = 64  # longer parts are not kept
 _STATE: dict = {}
 
