@@ -6,7 +6,7 @@ of two. Order does not matter; a paragraph is inserted or deleted by adding or
 subtracting its own fingerprint (`plus`, `minus`), with no need for the text. The vector of
 a paragraph has two parts:
 
-* 16 lanes modulo 2**32, hashed from the whole paragraph: equality;
+* 8 lanes modulo 2**32, hashed from the whole paragraph: equality;
 * 128 lanes modulo 2**16, the sum over the paragraph's runs of up to four words
   of +1 or -1 by the bits of the run's hash: the scalar product of two
   fingerprints estimates how many runs two texts share, and `likeness` is its
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.tables import stage
 
-WIDE, SIGNS = 16, 128
+WIDE, SIGNS = 8, 128
 #: One bit in each half of a long; the lower half.
 PAIR, LOW = (1 << 32) + 1, (1 << 32) - 1
 RUN = r"\S+(?:\s+\S+){0,3}"
@@ -154,14 +154,16 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of texts and edited texts with their likeness, one row per document."""
     keys = ["id", "key", "doc_id", "n_chars", "copies", "next_id", "next_key", "edited_sha256"]
-    pairs = edited_pairs(docs).withColumn("edited_sha256", F.sha2("edited", 256))
+    pairs = edited_pairs(docs).withColumn("edited_sha256", F.unhex(F.sha2("edited", 256)))
     bodies = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(body).alias("body")) for kind, body in enumerate(("text", "edited"))))
     both = pairs.select(*keys, F.explode(bodies).alias("x")).select(*keys, "x.kind", "x.body")
     hashed = fingerprints(both, [*keys, "kind"], "body")
-    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("fingerprint")))
+    # digests travel as bytes, half of their hex digits
+    pick = lambda kind: F.unhex(F.max(F.when(F.col("kind") == kind, F.col("fingerprint"))))
     own = stage(hashed.groupBy(*keys).agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")))
     following = own.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))
-    joined = own.join(following, ["next_id", "next_key"])
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    joined = own.join(following, ["next_id", "next_key"]).select("doc_id", "n_chars", "copies", *map(text, ("edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")))
     return joined.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
