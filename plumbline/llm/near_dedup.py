@@ -59,7 +59,7 @@ def order_sketches(grams: np.ndarray, factors: np.ndarray, picks: int) -> np.nda
         nth = np.arange(len(grams)) - at[np.cumsum(first) - 1]
         labelled = np.empty_like(grams)
         labelled[order] = W.mix(ranked + nth.astype(W.U64) * W.U64(0x9E3779B97F4A7C15))
-    step = max(1, (1 << 22) // len(grams))
+    step = max(1, (1 << 19) // len(grams))
     out = []
     for low in range(0, len(factors), step):
         rank = labelled * factors[low : low + step, None]

@@ -19,7 +19,19 @@ def text_key(text: Column) -> Column:
     return F.hash(text)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small, whatever the length of the texts: a worker and its JVM hold some of them at once.
+
+    Spark takes the sizes from the session when a plan runs, so they are set there, and only ever lowered.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def split_small(df: DataFrame) -> DataFrame:
-    """One split of a small table is one task; deal its rows over the cores. A large table stays as it is."""
+    """Made ready for Python tasks: Arrow batches are bounded, and a table of fewer splits than cores is dealt over the cores."""
+    bound_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -59,7 +59,7 @@ def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the column `text` of a piece holds about `limit` bytes (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
