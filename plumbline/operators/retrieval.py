@@ -14,7 +14,6 @@ from plumbline.operators.skew import salted_join
 from plumbline.session import stage
 
 # --- fixed values -----------------------------------------------------------
-HEAD_WORDS = 2500
 TOP = 10
 WINDOW, STEP = 250, 50
 PASSAGE, PASSAGE_STEP = 45, 10
@@ -137,12 +136,12 @@ def quote_terms(quote) -> Column:
 
 
 def proportional_window(text, text_norm, quote, width: int) -> Column:
-    """The part of a text around a quotation, located in the normalised text and mapped by proportion."""
+    """The part of a text around a quotation, located in the normalised text and mapped by proportion; null where it is not there."""
     text, text_norm = F.col(text), F.col(text_norm)
-    at = F.position(F.left(X.normalize(quote), F.lit(80)), text_norm) - 1
+    at = F.position(X.normalize(quote), text_norm) - 1
     there = F.floor(at / F.greatest(F.lit(1), F.length(text_norm)) * F.length(text)).cast("int")
     lo = F.greatest(F.lit(0), there - width // 2)
-    return F.when(at > 0, text.substr(lo + 1, there + width // 2 - lo)).otherwise(F.left(text, F.lit(width * 2)))
+    return F.when(at >= 0, text.substr(lo + 1, there + width // 2 - lo))
 
 
 @F.pandas_udf(T.StructType().add("window", T.StringType()).add("ratio", T.DoubleType()))

@@ -73,37 +73,17 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], row_id: list[str],
     return salted_join(left, table, on, row_id, how)
 
 
-def _cut_points(df: DataFrame, order_by: list[str], rows_per_bucket: int) -> list:
-    """Key values that split the rows into even ordered ranges; a bounded sample reaches the driver."""
-    total = df.count()
-    buckets = min(2000, total // rows_per_bucket)
-    if buckets < 2:
-        return []
-    wanted = buckets * 20
-    keys = df.select(*order_by)
-    sample = keys.sample(min(1.0, wanted / total), seed=7).limit(2 * wanted).collect()
-    ordered = sorted(tuple(r) for r in sample)
-    return [ordered[i * len(ordered) // buckets] for i in range(1, buckets)] if ordered else []
-
-
 def ordered_buckets(df: DataFrame, order_by: list[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Add ``_bucket``, a range number that follows the order of ``order_by``.
+    """Add ``_bucket``, a range number that follows the order of ``order_by`` (nulls first).
 
-    The cut points are constants of the plan, so every branch and every retry
-    sees the same ranges. They decide balance only, never the result.
+    Spark deals the rows out by range. The result is written, so every branch
+    and every retry sees the same ranges; they decide balance only, never the
+    result. The number of ranges grows with the rows.
     """
-    points = _cut_points(df, order_by, rows_per_bucket)
-    if not points:
+    buckets = df.count() // rows_per_bucket
+    if buckets < 2:
         return df.withColumn("_bucket", F.lit(0))
-    types = dict(df.dtypes)
-    key = F.struct(*order_by)
-    literal = F.array(
-        *[
-            F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order_by, p)])
-            for p in dict.fromkeys(points)
-        ]
-    )
-    return df.withColumn("_bucket", F.size(F.filter(literal, lambda c: c <= key)))
+    return stage(df.repartitionByRange(buckets, *order_by).withColumn("_bucket", F.spark_partition_id()))
 
 
 def running_total(
@@ -116,8 +96,8 @@ def running_total(
 ) -> DataFrame:
     """Cumulative sum in a total order, without one task that holds all rows.
 
-    Range buckets are summed on their own; the bucket totals (at most 2,000 per
-    key) are accumulated and added back.
+    Range buckets are summed on their own; the bucket totals (one per key and
+    bucket) are accumulated and added back.
     """
     ranged = ordered_buckets(df, order_by, rows_per_bucket)
     parts = [*keys, "_bucket"]

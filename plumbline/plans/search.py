@@ -156,11 +156,10 @@ def leak_screen(t: Tables) -> DataFrame:
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(Q.QUERY_STOP)))
-_HEAD = f"array_to_string(({V._W})[1:2500], ' ')"
 
 
 @query("R1 R2 T1", f"""
-WITH docs AS (SELECT doc_id, source, 1950 + doc_id % 50 AS yr, {_HEAD} AS text FROM documents)
+WITH docs AS (SELECT doc_id, source, 1950 + doc_id % 50 AS yr, text FROM documents)
 , dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM docs) WHERE term NOT IN ({_STOP}) GROUP BY 1, 2)
 , qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM benchmark) WHERE term NOT IN ({_STOP}) GROUP BY 1, 2)
 , n AS (SELECT count(*) AS n FROM docs), v AS (SELECT term, ln((1 + n) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM dt CROSS JOIN n GROUP BY term, n HAVING count(*) >= 3 AND count(*) <= n * 0.5)
@@ -172,8 +171,7 @@ WITH docs AS (SELECT doc_id, source, 1950 + doc_id % 50 AS yr, {_HEAD} AS text F
   UNION ALL SELECT 'pre1970', item_id, doc_id, sim, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) FROM m WHERE yr < 1970)
 SELECT list, item_id, doc_id, rank, round(sim, 6) AS score FROM a WHERE rank <= 10""")
 def tfidf_top_ten(t: Tables) -> DataFrame:
-    head = F.array_join(F.slice(X.words("text"), 1, Q.HEAD_WORDS), " ")
-    docs = spread(t.documents).select("doc_id", head.alias("text"))
+    docs = spread(t.documents).select("doc_id", "text")
     scores = Q.tfidf_scores(docs, t.benchmark, doc_id="doc_id", query_id="item_id", text="text")
     meta = t.documents.select("doc_id", "source", (1950 + F.col("doc_id") % 50).alias("yr"))
     # skipped candidates never take one of the ten places: the filter comes before the rank
@@ -280,9 +278,9 @@ def best_excerpt_windows(t: Tables) -> DataFrame:
 
 
 @query("R8", f"""
-WITH {V.DOC_QUOTES}, p AS (SELECT doc_id, text, {NORM} AS n, strpos({NORM}, left({V.nz('quote')}, 80)) - 1 AS i FROM doc_quotes)
+WITH {V.DOC_QUOTES}, p AS (SELECT doc_id, text, {NORM} AS n, strpos({NORM}, {V.nz('quote')}) - 1 AS i FROM doc_quotes)
 , j AS (SELECT *, CAST(floor(CAST(i AS DOUBLE) / greatest(1, length(n)) * length(text)) AS INT) AS j FROM p)
-SELECT doc_id, md5(CASE WHEN i > 0 THEN substr(text, greatest(0, j - 300) + 1, j + 300 - greatest(0, j - 300)) ELSE left(text, 1200) END) AS window_md5 FROM j""")
+SELECT doc_id, md5(CASE WHEN i >= 0 THEN substr(text, greatest(0, j - 300) + 1, j + 300 - greatest(0, j - 300)) END) AS window_md5 FROM j""")
 def opinion_windows(t: Tables) -> DataFrame:
     q = V.doc_quotes(t).select("doc_id", "text", "quote", X.normalize("text").alias("n"))
     return q.select("doc_id", F.md5(Q.proportional_window("text", "n", "quote", 600)).alias("window_md5"))

@@ -148,13 +148,13 @@ def two_candidate_verdicts(t: Tables) -> DataFrame:
     )
 
 
-@query("V6 F15", DQ + f""", f AS (SELECT doc_id, lang, source, substr(quote, 1, 120) AS q, {NORM} AS n FROM doc_quotes)
+@query("V6 F15", DQ + f""", f AS (SELECT doc_id, lang, source, quote AS q, {NORM} AS n FROM doc_quotes)
 , g AS (SELECT *, CASE WHEN len({V.frags('q')}) > 0 THEN {V.frags('q')} ELSE [{V.nz('q')}] END AS fr FROM f)
 SELECT doc_id, CASE WHEN lang = 'fr' THEN 'out_of_scope_non_us' WHEN source = 'src0' THEN 'no_text'
   WHEN list_max(list_transform(fr, lambda x: {V.coverage('x', 'n')})) >= 0.5 THEN 'paraphrase_in_quotes'
   ELSE 'fabricated_language' END AS cls FROM g""")
 def failure_decomposition(t: Tables) -> DataFrame:
-    d = V.doc_quotes(t).select("doc_id", "lang", "source", F.substring("quote", 1, 120).alias("q"), X.normalize("text").alias("n"))
+    d = V.doc_quotes(t).select("doc_id", "lang", "source", F.col("quote").alias("q"), X.normalize("text").alias("n"))
     fr = X.fragments("q", "literal")
     d = d.withColumn("fr", F.when(F.size(fr) > 0, fr).otherwise(F.array(X.normalize("q"))))
     return d.select(

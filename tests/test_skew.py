@@ -32,6 +32,13 @@ def test_running_total_over_buckets(spark):
     assert per.groupBy("g").agg(F.max("i"), F.countDistinct("i"), F.count("*")).filter("max(i) <> count(DISTINCT i) OR max(i) <> `count(1)`").count() == 0
 
 
+def test_null_ordering_keys_come_first(spark):
+    df = spark.createDataFrame([(None if i % 10 == 0 else i, i, 1) for i in range(400)], "o long, tie long, v long")
+    got = {r.tie: r.i for r in S.number_rows(df, ["o", "tie"], "i", rows_per_bucket=50).collect()}
+    expect = sorted(range(400), key=lambda i: (i % 10 != 0, i))
+    assert got == {tie: n for n, tie in enumerate(expect, 1)}
+
+
 def test_next_starts_across_page_ranges(spark):
     starts = [1, 2, 999, 1000, 5200, 5201, 9000]
     index = spark.createDataFrame([("1", "U.S.", str(p), p) for p in starts] + [("1", "U. S.", "2", 77), ("1", "U.S.", "iv", 5)], "volume string, reporter string, page string, cluster_id long")
