@@ -15,7 +15,7 @@ The shortest path over the tropical semiring (least sum of weights) is taken by
 relaxing the arcs from left to right. Texts are cut where no piece of the model
 holds the two characters side by side: no path crosses such a place, so the
 shortest path is the concatenation of the parts', and each distinct part is composed
-once per worker (about `CACHE` parts are kept, then the store is emptied).
+once per worker (the last `CACHE` to twice as many parts are kept, in two generations).
 
 Neighbours agree: decided by the merge rule on the two pieces' characters (best
 score first, leftmost on ties), once for each pair.
@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -71,28 +72,39 @@ class Transducer:
             node.setdefault("", len(self.texts) + ord(c))
         self.agree: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _text(self, k: int) -> str:
         """The characters an arc has read: a piece's, or the one that falls back to bytes."""
         return self.texts[k] if k < len(self.texts) else chr(k - len(self.texts))
 
-    def merged(self, text: str) -> list[str]:
-        """The merge rule on a few characters: best score first, leftmost on ties."""
-        parts = list(text)
+    def merged(self, text: str, seam: int = 0) -> list[str]:
+        """The merge rule on a few characters: best score first, leftmost on ties. It stops at a merge over the place `seam`."""
+        parts, scores = list(text), self.scores
+        found = list(map(scores.get, map(add, parts, parts[1:])))
         while True:
-            best = min(((-self.scores[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores), default=None)
+            best, i = None, -1
+            for k, score in enumerate(found):
+                if score is not None and (best is None or score > best):
+                    best, i = score, k
             if best is None:
                 return parts
-            i = best[1]
+            if seam and sum(map(len, parts[: i + 1])) == seam:
+                return []
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del found[i]
+            if i:
+                found[i - 1] = scores.get(parts[i - 1] + parts[i])
+            if i < len(found):
+                found[i] = scores.get(parts[i] + parts[i + 1])
 
     def weight(self, before: int, piece: int) -> float:
         """Of the arc that writes `piece` behind `before` (-1: at the beginning)."""
         key = (before + 1) << 24 | piece
         ok = self.agree.get(key)
         if ok is None:
-            head = [self._text(before)] if before >= 0 else []
-            ok = self.agree[key] = self.merged("".join([*head, self._text(piece)])) == [*head, self._text(piece)]
+            both = [self._text(before), self._text(piece)] if before >= 0 else [self._text(piece)]
+            ok = self.agree[key] = self.merged("".join(both), len(both[0])) == both
         return 1.0 if ok else float("inf")
 
     def shortest(self, text: str) -> list[int]:
@@ -131,8 +143,8 @@ class Transducer:
         n, joined = len(part), self.joined
         if n > 1 and part[-2:] not in joined and n <= LONG:  # a word and its punctuation mark
             return self._part(part[:-1]) + self._part(part[-1])
-        cuts = [i for i in range(1, n) if part[i - 1 : i + 1] not in joined]
-        if cuts:
+        if not joined.issuperset(map(add, part, part[1:])):
+            cuts = [i for i in range(1, n) if part[i - 1 : i + 1] not in joined]
             return b"".join([self._part(part[a:b]) for a, b in zip([0, *cuts], [*cuts, n])])
         out = array("i")
         for k in self.shortest(part):
@@ -145,7 +157,9 @@ class Transducer:
     def _part(self, part: str) -> bytes:
         ids = self.known.get(part)
         if ids is None:
-            ids = self._compose(part)
+            ids = self.older.get(part)
+            if ids is None:
+                ids = self._compose(part)
             if len(part) <= LONG:
                 self.known[part] = ids
         return ids
@@ -155,7 +169,7 @@ class Transducer:
         if not text:
             return b""
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
             parts = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", (MARK + text.replace(" ", MARK)))
         else:
