@@ -7,12 +7,14 @@ the `picks` least are kept in text order: two texts share the sketch if they
 hold the same least k-mers in the same order, which favours texts at a small
 edit distance. Nodes with an equal sketch form a bucket.
 
-Buckets are resolved without pairing their members: every member is compared with
-the bucket's center, the node with the most company. That is done twice: for the
-buckets themselves, and then, among nodes that are not in one class yet, for the finer buckets of each function with
-each of its `refine` successors, whose members share two sketches. Two texts at the
-threshold share about eight of twenty sketches, so they meet in several buckets of both kinds;
-the number of comparisons is at most one a member and bucket.
+Buckets are resolved in rounds. First every member is compared with the bucket's center,
+the node with the most company. Then a sixteenth of the nodes, and at last all of them, are held
+against all members of another class: a bucket's members lie in blocks of about `block`
+nodes, and a row holds two blocks with a bit map of each node's k-mers. A bit of one
+map only is a k-mer of one text only, which bounds the similarity from above; texts are fetched
+for the pairs whose bound reaches the threshold. So at the end no two nodes of one
+bucket are in two classes without having been compared, and a class that fills blocks of its own is not held
+against itself. Two texts at the threshold share about eight of twenty sketches.
 
 A pair is similar if the Jaccard similarity of its k-mer sets is `similar` or
 more. Banded alignment verifies it: d edits change k * d k-mers at most, so an edit
@@ -37,6 +39,7 @@ from plumbline.llm import words as W
 from plumbline.llm.tables import split_small, stage
 
 NODE = "_plumbline_node"
+MAP_BITS = 2048
 
 
 def node_of(text):
@@ -150,11 +153,12 @@ def are_similar(a: np.ndarray, b: np.ndarray, k: int, similar: float) -> bool:
     return both >= similar * (few + many - both)
 
 
-def _verify(k: int, similar: float):
-    def hashes(text: str) -> np.ndarray:
-        raw, at = W.text_bytes(pa.array([text]))
-        return W.word_hashes(raw, *W.spans(raw, at, W.NOT_SPACE)[:2])
+def _hashes(text: str) -> np.ndarray:
+    raw, at = W.text_bytes(pa.array([text]))
+    return W.word_hashes(raw, *W.spans(raw, at, W.NOT_SPACE)[:2])
+
 
+def _verify(k: int, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
@@ -162,8 +166,8 @@ def _verify(k: int, similar: float):
             ok = np.zeros(batch.num_rows, bool)
             for r, node in enumerate(nodes):
                 if node != last:
-                    last, held = node, hashes(batch.column("text_a")[r].as_py())
-                ok[r] = are_similar(held, hashes(batch.column("text_b")[r].as_py()), k, similar)
+                    last, held = node, _hashes(batch.column("text_a")[r].as_py())
+                ok[r] = are_similar(held, _hashes(batch.column("text_b")[r].as_py()), k, similar)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
@@ -189,19 +193,83 @@ def components(edges: DataFrame) -> DataFrame:
     return stage(edges.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("class"))))
 
 
-def classes(docs: DataFrame, k: int = 5, similar: float = 0.8, sketches: int = 20, picks: int = 4, refine: int = 3) -> DataFrame:
+def _marks(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, maps = [], []
+            for text in batch.column("text"):
+                grams = np.unique(kmers(_hashes(text.as_py()), k))
+                bits = np.zeros(MAP_BITS, bool)
+                bits[(W.mix(grams) % W.U64(MAP_BITS)).astype(np.int64)] = True
+                counts.append(len(grams))
+                maps.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(counts, pa.int32()), pa.array(maps, pa.binary())], ["node", "n", "bits"])
+
+    return run
+
+
+def may_be_similar(n_a: np.ndarray, bits_a: np.ndarray, n_b: np.ndarray, bits_b: np.ndarray, similar: float) -> np.ndarray:
+    """For each node of a and each of b: whether the maps leave room for the similarity. Never false for similar texts."""
+    only_a = np.bitwise_count(bits_a[:, None] & ~bits_b[None]).sum(axis=2, dtype=np.int64)
+    only_b = np.bitwise_count(bits_b[None] & ~bits_a[:, None]).sum(axis=2, dtype=np.int64)
+    both = np.minimum(n_a[:, None] - only_a, n_b[None] - only_b)
+    return both * (1 + similar) >= similar * (n_a[:, None] + n_b[None]) - 1e-6
+
+
+def _candidates(similar: float):
+    def side(nodes):
+        bits = np.frombuffer(b"".join(x["bits"] for x in nodes), np.uint64).reshape(len(nodes), -1)
+        return [x["node"] for x in nodes], np.array([x["class"] for x in nodes], object), np.array([x["n"] for x in nodes]), bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for one, two in zip(batch.column("one"), batch.column("two")):
+                (a, class_a, n_a, bits_a), (b, class_b, n_b, bits_b) = side(one.as_py()), side(two.as_py())
+                hit = may_be_similar(n_a, bits_a, n_b, bits_b, similar) & (class_a[:, None] != class_b[None])
+                for i, j in zip(*np.nonzero(hit)):
+                    found[0].append(max(a[i], b[j]))
+                    found[1].append(min(a[i], b[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in found], ["a", "b"])
+
+    return run
+
+
+def classes(docs: DataFrame, k: int = 5, similar: float = 0.8, sketches: int = 20, picks: int = 4, block: int = 64) -> DataFrame:
     """node and class of every node that is similar to another."""
     key = ["fn", "sketch"]
     left = buckets(docs, k, sketches, picks)
     members = left.select("node").distinct()
     texts = docs.select(node_of(F.col("text")).alias("node"), "text").join(members, "node").groupBy("node").agg(F.first("text").alias("text"))
     texts = stage(texts)
-    first = components(_links(left, left.select("node", F.col("node").alias("class")).distinct(), key, texts, k, similar))
-    after = left.select("node", F.col("fn").alias("on"), F.col("sketch").alias("other"))
-    steps = F.explode(F.array(*(F.lit(j) for j in range(1, refine + 1)))).alias("by")
-    fine = left.select("*", steps).withColumn("on", ((F.col("fn") + F.col("by")) % sketches).cast("short")).join(after, ["node", "on"])
-    second = _links(fine, first, [*key, "on", "other"], texts, k, similar)
-    return components(second.unionByName(first.select(F.col("node").alias("a"), F.col("class").alias("b"))))
+    marks = stage(texts.mapInArrow(_marks(k), "node binary, n int, bits binary"))
+    found = components(_links(left, left.select("node", F.col("node").alias("class")).distinct(), key, texts, k, similar))
+    for part in (16, 1):
+        links = _rest(left, found, key, texts, marks, k, similar, block, part)
+        found = components(links.unionByName(found.select(F.col("node").alias("a"), F.col("class").alias("b"))))
+    return found
+
+
+def _rest(members: DataFrame, classed: DataFrame, key: list[str], texts: DataFrame, marks: DataFrame, k: int, similar: float, block: int, part: int) -> DataFrame:
+    """The similar pairs (a, b) of two classes' members in one bucket, a or b of every `part`-th node."""
+    members = members.select("node", *key).join(classed, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    # only buckets with two classes; a class that fills a block has blocks of its own
+    members = stage(members)
+    sizes = members.groupBy(*key, "class").agg(F.count("*").alias("size"))
+    own = sizes.withColumn("group", F.when(F.col("size") >= block, F.col("class")).otherwise(F.unhex(F.lit(""))))
+    groups = own.groupBy(*key, "group").agg(F.sum("size").alias("size"))
+    several = sizes.groupBy(*key).agg(F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    named = own.drop("size").join(several, key).join(groups, [*key, "group"])
+    held = stage(members.join(named, [*key, "class"]).join(marks, "node").withColumn("h", F.xxhash64("node")))
+    blocks = lambda rows, of: rows.withColumn("no", F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / block))).groupBy(*key, "group", "no").agg(
+        F.collect_list(F.struct("node", "class", "n", "bits")).alias(of)
+    )
+    ones, twos = blocks(held.where(F.pmod("h", F.lit(part)) == 0), "one"), blocks(held, "two")
+    both = ones.alias("l").join(twos.alias("r"), key).where("l.group != r.group or l.group = unhex('')")
+    if part == 1:
+        both = both.where("struct(l.group, l.no) <= struct(r.group, r.no)")
+    pairs = stage(both.select("one", "two").mapInArrow(_candidates(similar), "a binary, b binary")).distinct()
+    return _similar_pairs(pairs, texts, k, similar)
 
 
 def _links(members: DataFrame, classed: DataFrame, key: list[str], texts: DataFrame, k: int, similar: float) -> DataFrame:
@@ -210,6 +278,10 @@ def _links(members: DataFrame, classed: DataFrame, key: list[str], texts: DataFr
     centers = members.groupBy(*key).agg(F.max(F.struct("company", "node", "class")).alias("top"), F.min(F.xxhash64("class")).alias("x"), F.max(F.xxhash64("class")).alias("y"))
     centers = stage(centers.where("x < y").select(*key, F.col("top.node").alias("a"), F.col("top.class").alias("class_a")))
     pairs = members.join(centers, key).where("class != class_a").select("a", F.col("node").alias("b")).distinct()
+    return _similar_pairs(pairs, texts, k, similar)
+
+
+def _similar_pairs(pairs: DataFrame, texts: DataFrame, k: int, similar: float) -> DataFrame:
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return stage(with_a.mapInArrow(_verify(k, similar), "a binary, b binary"))

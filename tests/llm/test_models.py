@@ -79,6 +79,36 @@ def test_a_large_group_and_a_chain_are_joined(spark):
     assert sorted(map(tuple, N.near_dedup(docs).collect()), key=str) == brute_classes(rows)
 
 
+def baseless_family(n, seed):
+    """Copies of an absent text with four words changed in each: most pairs lie just under 0.8, some above."""
+    rng = random.Random(seed)
+    base = ["w" + str(rng.randrange(10**6)) for _ in range(300)]
+    for k in range(n):
+        w = list(base)
+        for at in rng.sample(range(300), 4):
+            w[at] = "e" + str(rng.randrange(10**9))
+        yield k, " ".join(w)
+
+
+def test_links_of_a_large_family_without_its_base(spark):
+    rows = list(baseless_family(400, 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, N.near_dedup(docs, block=16).collect()), key=str) == brute_classes(rows)
+
+
+def test_maps_never_rule_out_similar_texts():
+    rng = random.Random(8)
+    for size in (6, 40, 300, 4000):
+        a = np.array([rng.randrange(10**9) for _ in range(size)], np.uint64)
+        for changed in range(0, size, max(1, size // 20)):
+            b = a.copy()
+            b[:changed] += np.uint64(10**9)
+            maps = [np.packbits(np.isin(np.arange(N.MAP_BITS), N.W.mix(x) % np.uint64(N.MAP_BITS))).view(np.uint64)[None] for x in (a, b)]
+            n, both = np.array([size]), size - changed
+            if both >= 0.8 * (2 * size - both):
+                assert N.may_be_similar(n, maps[0], n, maps[1], 0.8)[0, 0]
+
+
 def test_banded_distance():
     rng = random.Random(2)
     for _ in range(400):
