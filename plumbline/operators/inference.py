@@ -194,7 +194,8 @@ def kappa(both: Column, only_a: Column, only_b: Column, neither: Column) -> Colu
     return F.try_divide(observed - chance, 1 - chance)
 
 
-SURVIVAL_SCHEMA = "model string, term string, survival double, median_or double, draws long"
+DRAWS_A_TASK = 20
+SURVIVAL_SCHEMA = "model string, term string, hit boolean, odds double"
 
 
 def reclassification_survival(stats: DataFrame, shares: dict[str, float], draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
@@ -202,24 +203,26 @@ def reclassification_survival(stats: DataFrame, shares: dict[str, float], draws:
 
     Rows of a cell are exchangeable, so the number removed from a cell is one
     binomial draw on its count of failures. The correction is taken within the
-    model's contrasts.
+    model's contrasts. Draws are dealt over tasks, each with its own seed.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = pdf["model"].iloc[0]
-        rng = np.random.default_rng([seed, *model.encode()])
+        model, first = pdf["model"].iloc[0], int(pdf["_first"].iloc[0])
+        pdf = pdf.drop(columns="_first").sort_values(["kind", "matter", "condition"], kind="stable")
         share = pdf["condition"].map(shares).fillna(0.0).to_numpy()
         failed = (pdf["n"] - pdf["s"]).to_numpy()
-        hits, ors = dict.fromkeys(CONTRASTS, 0), {c: [] for c in CONTRASTS}
-        for _ in range(draws):
+        rows = []
+        for draw in range(first, min(first + DRAWS_A_TASK, draws)):
+            rng = np.random.default_rng([seed, draw, *model.encode()])
             d = pdf.assign(n=pdf["n"] - rng.binomial(failed, share))
             fit = _fit_group(d[d["n"] > 0], CONTRASTS, [], None).sort_values("p", kind="stable")
             for i, (term, p, odds) in enumerate(zip(fit["term"], fit["p"], fit["odds_ratio"])):
-                if p is not None and not pd.isna(p):
-                    hits[term] += min(1.0, p * (len(fit) - i)) < alpha
-                    ors[term].append(odds)
-        return pd.DataFrame(
-            [(model, c, hits[c] / draws, float(np.median(ors[c])) if ors[c] else None, draws) for c in CONTRASTS],
-            columns=["model", "term", "survival", "median_or", "draws"],
-        )
-
-    return stats.groupBy("model").applyInPandas(run, SURVIVAL_SCHEMA)
+                fitted = p is not None and not pd.isna(p)
+                rows.append((model, term, bool(fitted and min(1.0, p * (len(fit) - i)) < alpha), odds if fitted else None))
+        return pd.DataFrame(rows, columns=["model", "term", "hit", "odds"])
+
+    firsts = F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS_A_TASK))).alias("_first")
+    dealt = stats.select("*", firsts).repartition(stats.sparkSession.sparkContext.defaultParallelism, "model", "_first")  # few bytes, long fits
+    each = dealt.groupBy("model", "_first").applyInPandas(run, SURVIVAL_SCHEMA)
+    return each.groupBy("model", "term").agg(
+        (F.count_if("hit") / draws).alias("survival"), F.percentile("odds", 0.5).alias("median_or"), F.lit(draws).cast("long").alias("draws")
+    )

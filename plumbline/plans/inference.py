@@ -12,7 +12,8 @@ from plumbline.plans.registry import query
 from plumbline.session import Tables
 
 WITH = f"WITH {V.RECORDS}"
-DRAWS, SEED = 200, 20260913
+DRAWS, SEED = 2000, 20260913
+SURVIVAL_DRAWS = 200
 _SCORED = "((kind='citation' AND verdict IN ('exists','not_found')) OR (kind='quote' AND verdict IN ('accurate','near_miss','inaccurate')))"
 
 
@@ -192,7 +193,7 @@ def fisher_tests(t: Tables) -> DataFrame:
 def reclassification_survival(t: Tables) -> DataFrame:
     q = O.scored(V.records(t).filter("kind = 'quote'"))
     shares = {"baseline": 0.1, "quota": 0.2, "temporal": 0.15, "stakes": 0.1, "combo": 0.25}
-    return O.reclassification_survival(O.sufficient(q, ["model", "kind", "matter", "condition"]), shares, 20, 20260904)
+    return O.reclassification_survival(O.sufficient(q, ["model", "kind", "matter", "condition"]), shares, SURVIVAL_DRAWS, 20260904)
 
 
 @query("I11", """

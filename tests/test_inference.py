@@ -111,3 +111,19 @@ def test_survival_is_one_without_removal(spark):
     fit = {r.term: r.holm_p for r in I.holm(I.clustered_fits(stats), ["model"], "p", ["term"]).collect()}
     for r in I.reclassification_survival(stats, {}, 3, 1).collect():
         assert r.survival == float(fit[r.term] < 0.05)
+
+
+def test_queries_take_the_draws_of_the_reference(spark, folder):
+    from plumbline.plans import registry
+
+    q = registry.queries()
+    assert max(r.draws for r in q["cluster_bootstrap"](spark, folder).collect()) == 2000  # a draw may miss all matters of a sparse contrast
+    got = q["reclassification_survival"](spark, folder).collect()
+    assert {r.draws for r in got} == {200} and len({(r.model, r.term) for r in got}) == len(got)
+
+
+def test_survival_does_not_depend_on_the_order_of_rows(spark):
+    stats = I.sufficient(spark.createDataFrame(simulated(3, 40)), ["model", "kind", "matter", "condition"])
+    shares = dict.fromkeys(I.CONTRASTS, 0.3)
+    one, two = (sorted(map(tuple, I.reclassification_survival(s, shares, 45, 7).collect())) for s in (stats, stats.orderBy(F.rand(1))))
+    assert one == two and {r[4] for r in one} == {45}
