@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bit_planes, decontaminate, fingerprints, line_dedup, near_dedup, shards, substring_dedup, token_files, toxicity, transducer, url_filter
+from plumbline.llm import bit_planes, decontaminate, fingerprints, hard_negatives, line_dedup, near_dedup, shards, substring_dedup, token_files, toxicity, transducer, url_filter
 from plumbline.llm.tables import read
 
 
@@ -56,6 +56,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
 def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_planes.cluster_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -63,7 +67,7 @@ def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_substring_dedup, op2_toxicity, op3_near_dedup, op4_token_files, op5_url_filter,
     op6_shards, op7_transducer, op8_line_dedup, op9_decontaminate, op10_fingerprints,
-    op13_bit_planes,
+    op11_hard_negatives, op13_bit_planes,
 )
 
 
@@ -78,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE, "op13_bit_planes": bit_planes.ORACLE}
+    return {"op8_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_bit_planes": bit_planes.ORACLE}
