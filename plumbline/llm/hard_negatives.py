@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from plumbline.llm.tables import bound_batches, stage
 
 ROWS = 2048  # vectors of a bucket
-GROUP = 32  # buckets that meet a block in one task
+GROUP = 8  # buckets that meet a block in one task
 BLOCK = 256  # anchors of a block, about
 FOCUS = 3  # coordinates intersected
 SEEDS = 2  # buckets searched first, about

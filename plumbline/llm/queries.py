@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bit_planes, decontaminate, fingerprints, hard_negatives, line_dedup, near_dedup, shards, substring_dedup, token_files, toxicity, transducer, url_filter
+from plumbline.llm import bit_planes, decontaminate, fingerprints, hard_negatives, line_dedup, log_bilinear, near_dedup, shards, substring_dedup, token_files, toxicity, transducer, url_filter
 from plumbline.llm.tables import read
 
 
@@ -60,6 +60,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
 
 
+def op12_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_planes.cluster_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -67,7 +71,7 @@ def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_substring_dedup, op2_toxicity, op3_near_dedup, op4_token_files, op5_url_filter,
     op6_shards, op7_transducer, op8_line_dedup, op9_decontaminate, op10_fingerprints,
-    op11_hard_negatives, op13_bit_planes,
+    op11_hard_negatives, op12_log_bilinear, op13_bit_planes,
 )
 
 
