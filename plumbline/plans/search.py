@@ -10,6 +10,7 @@ from plumbline.functions import rates as R
 from plumbline.functions import text as X
 from plumbline.operators import containment as J
 from plumbline.operators import provenance as S
+from plumbline.operators import ranking as G
 from plumbline.operators import retrieval as Q
 from plumbline.operators import verdicts as D
 from plumbline.operators.skew import attach
@@ -171,17 +172,11 @@ WITH docs AS (SELECT doc_id, source, 1950 + doc_id % 50 AS yr, text FROM documen
   UNION ALL SELECT 'pre1970', item_id, doc_id, sim, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) FROM m WHERE yr < 1970)
 SELECT list, item_id, doc_id, rank, round(sim, 6) AS score FROM a WHERE rank <= 10""")
 def tfidf_top_ten(t: Tables) -> DataFrame:
-    docs = spread(t.documents).select("doc_id", "text")
-    scores = Q.tfidf_scores(docs, t.benchmark, doc_id="doc_id", query_id="item_id", text="text")
-    meta = t.documents.select("doc_id", "source", (1950 + F.col("doc_id") % 50).alias("yr"))
-    # skipped candidates never take one of the ten places: the filter comes before the rank
-    party = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
-    m = scores.join(meta, "doc_id").filter(~F.contains(F.lower("source"), party))
-    both = F.when(F.col("yr") < 1970, F.array(F.lit("all"), F.lit("pre1970"))).otherwise(F.array(F.lit("all")))
-    listed = m.withColumn("list", F.explode(both))
-    order = Window.partitionBy("list", "item_id").orderBy(F.desc("sim"), F.col("doc_id"))
-    top = listed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= Q.TOP)
-    return top.select("list", "item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("score"))
+    lists = F.when(F.col("doc_id") % 50 < 20, F.array(F.lit("all"), F.lit("pre1970"))).otherwise(F.array(F.lit("all")))  # decided in 1950 + doc_id % 50
+    docs = spread(t.documents).select(F.col("doc_id").alias("doc"), "text", F.col("source").alias("name"), lists.alias("lists"))
+    asked = t.benchmark.select(F.col("item_id").alias("query"), "text", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("party"))
+    top = G.top_by_cosine(docs, asked)
+    return top.select("list", F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", F.round("sim", 6).alias("score"))
 
 
 @query("R4", """
