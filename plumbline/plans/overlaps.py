@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import names as N
 from plumbline.operators.overlap import overlap_pairs
 from plumbline.plans.registry import query
-from plumbline.session import Tables, union_all
+from plumbline.session import Tables, spread, union_all
 
 _CASE = ", ".join(f"'{w}'" for w in N.CASE_STOP)
 
@@ -35,7 +35,7 @@ HITS = (
 def hits(t: Tables) -> DataFrame:
     nation = t.nation.select("n_nationkey", "n_name")
     lines = (
-        t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+        spread(t.lineitem).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
         .join(nation, F.col("n_nationkey") == F.col("s_nationkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     )
     return lines.selectExpr(
