@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import state as O
 from plumbline.plans.registry import query
 from plumbline.session import Tables, shared_dir
-from plumbline.streaming import eventlog
+from plumbline.streaming import eventlog, notes
 
 _STEP = "concat(CAST(user_id AS STRING), ':', event_type)"
 
@@ -29,14 +29,24 @@ def pending_steps(t: Tables) -> DataFrame:
     return O.pending(planned.distinct(), t.events.selectExpr(f"{_STEP} AS step"), "step")
 
 
-@query("Z5 K2", """
+_LIVE = """
 WITH ops AS (SELECT user_id * 10 + event_id % 7 AS id, event_id AS seq, CASE WHEN event_type = 'error' THEN 'retire' ELSE 'add' END AS op, value FROM events)
-SELECT id, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM ops) WHERE rn = 1 AND op = 'add'""")
+SELECT id, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM ops) WHERE rn = 1 AND op = 'add'"""
+_OPS = ["user_id * 10 + event_id % 7 AS id", "event_id AS seq", "CASE WHEN event_type = 'error' THEN 'retire' ELSE 'add' END AS op", "value"]
+
+
+@query("Z5 K2", _LIVE)
 def live_notes(t: Tables) -> DataFrame:
-    ops = t.events.selectExpr(
-        "user_id * 10 + event_id % 7 AS id", "event_id AS seq", "CASE WHEN event_type = 'error' THEN 'retire' ELSE 'add' END AS op", "value"
-    )
-    return O.live_notes(ops, "id", "seq", "op", ["value"])
+    return O.live_notes(t.events.selectExpr(*_OPS), "id", "seq", "op", ["value"])
+
+
+@query("Z5 Z1", _LIVE)
+def streamed_notes(t: Tables) -> DataFrame:
+    """The same notes, folded from a stream into keyed state and read back from it."""
+    base = f"{shared_dir(t.spark)}/notes-{uuid.uuid4().hex}"
+    ops = eventlog.parquet_stream(t.spark, t.folder, "events.parquet").selectExpr(*_OPS)
+    notes.fold(ops, f"{base}/changes", f"{base}/checkpoint", "id", "seq").awaitTermination()
+    return notes.live(notes.kept_notes(t.spark, f"{base}/checkpoint", "id"), "op").select("id", "seq", "value")
 
 
 @query("Z7", """

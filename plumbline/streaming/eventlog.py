@@ -1,4 +1,4 @@
-"""Exactly-once ingestion of append-only logs and keyed state by micro-batch."""
+"""Exactly-once ingestion of append-only logs."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbline.operators.resolve import last_writer
-
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -41,16 +39,3 @@ def ingest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )
-
-
-def fold_notes(stream: DataFrame, out: str, checkpoint: str, key: str, seq: str) -> StreamingQuery:
-    """Latest operation per key, one snapshot per batch under ``out``; a replayed batch rewrites its own."""
-    def batch(rows: DataFrame, epoch: int) -> None:
-        spark = rows.sparkSession
-        before = f"{out}/{epoch - 1}"
-        merged = rows if epoch == 0 else spark.read.parquet(before).unionByName(rows)
-        last_writer(merged, [key], [seq]).write.mode("overwrite").parquet(f"{out}/{epoch}")
-
-    return (
-        stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )

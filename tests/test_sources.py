@@ -117,21 +117,6 @@ def test_stream_ingests_each_step_once_and_resumes(spark, tmp_path):
     assert go() == ["a", "b", "c"]
 
 
-def test_stream_folds_notes(spark, tmp_path):
-    log = tmp_path / "notes"
-    log.mkdir()
-    note = lambda i, op, seq: json.dumps({"id": i, "op": op, "seq": seq})
-    (log / "1.jsonl").write_text("\n".join([note("x", "add", 1), note("y", "add", 2)]))
-    run = lambda: eventlog.fold_notes(eventlog.tolerant_json(spark, str(log), readers.NOTE_SCHEMA), f"{tmp_path}/s", f"{tmp_path}/c", "id", "seq").awaitTermination()
-    run()
-    (log / "2.jsonl").write_text(note("x", "retire", 3))
-    run()
-    got = {r.id: r.op for r in spark.read.parquet(f"{tmp_path}/s/1").collect()}
-    assert got == {"x": "retire", "y": "add"}
-    live = S.live_notes(spark.read.parquet(f"{tmp_path}/s/1").select("id", "op", "seq", "text"), "id", "seq", "op", ["text"])
-    assert [r.id for r in live.collect()] == ["y"]
-
-
 def test_budget_refuses_calls_after_the_crossing(spark):
     m = spark.createDataFrame([(1, 4), (2, 4), (3, 4), (4, 1)], "t int, cost int")
     got = {r.t: (r.spent, r.refused) for r in S.spend(m, "cost", ["t"], 8).collect()}
