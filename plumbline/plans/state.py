@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import state as O
 from plumbline.plans.registry import query
 from plumbline.session import Tables, shared_dir
+from plumbline.sources.keyed_table import KeyedTable
 from plumbline.streaming import eventlog, notes
 
 _STEP = "concat(CAST(user_id AS STRING), ':', event_type)"
@@ -84,3 +85,21 @@ def streamed_steps(t: Tables) -> DataFrame:
     stream = eventlog.parquet_stream(t.spark, t.folder, "events.parquet").selectExpr(f"{_STEP} AS step", "event_id")
     eventlog.ingest(eventlog.once_per_step(stream, "step"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{base}/out").groupBy("step").agg(F.count(F.lit(1)).alias("kept"))
+
+
+def _written(t: Tables, keep: str) -> DataFrame:
+    """The events, upserted by (user, kind) in three batches and read back."""
+    table = KeyedTable(t.spark, f"{shared_dir(t.spark)}/table-{uuid.uuid4().hex}").create(["user_id", "event_type"], "event_id", keep, ranges=8)
+    for batch in (2, 0, 1):
+        table.upsert(t.events.where(F.col("event_id") % 3 == batch).select("user_id", "event_type", "event_id", "value"))
+    return table.read()
+
+
+@query("K1 K2 K6", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+def upserted_events(t: Tables) -> DataFrame:
+    return _written(t, "last")
+
+
+@query("K1 K3 K6", "SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY 1, 2")
+def inserted_events(t: Tables) -> DataFrame:
+    return _written(t, "first")
