@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from plumbline.operators import sampling as S
 from plumbline.operators.skew import salted_join
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
-from plumbline.session import Tables
+from plumbline.session import Tables, shared_dir
+from plumbline.sources import readers
 
 RES = f"WITH {V.RESOLUTION} "
 CUTOFF = "1971-01-01"
@@ -318,8 +321,6 @@ def delimited_chunks(t: Tables) -> DataFrame:
 SELECT verdict AS cls, model, CAST(matter AS VARCHAR) AS matter, condition, concat(CAST(volume AS VARCHAR), ' ', reporter, ' ', CAST(page AS VARCHAR)) AS citation, count(*) AS n
 FROM records WHERE kind='citation' GROUP BY ALL""")
 def parsed_report_lines(t: Tables) -> DataFrame:
-    from plumbline.sources import readers
-
     line = F.expr(
         "concat('- **', verdict, '** | ', model, ' ', cast(matter as string), '_', condition, ' | cited ', "
         "cast(volume as string), ' ', reporter, ' ', cast(page as string), ' (Doe v. Roe) | true source: —')"
@@ -333,23 +334,15 @@ def parsed_report_lines(t: Tables) -> DataFrame:
 SELECT cluster_id AS id, case_name, left(date_filed, 10) AS date_filed, concat('s', CAST(cluster_id AS VARCHAR)) AS scdb_id, CAST(volume AS BIGINT) AS docket_id FROM cases
 WHERE status <> 'P'""")
 def resynchronised_rows(t: Tables) -> DataFrame:
-    """Rows torn over two lines, with every third of the statuses unreadable, put together again."""
-    from plumbline.sources import readers
-
+    """Rows torn over two lines, with every third of the statuses unreadable, written as text and put together again."""
     pad = lambda n: ", ".join(["'\"x\"'"] * n)
     row = F.expr(
         "concat_ws(',', concat('\"', cluster_id, '\"'), concat('\"', date_filed, ' 00:00:00\"'), '\"x\"', '\"x\"', "
         f"concat('\"', date_filed, '\"'), {pad(3)}, concat('\"', case_name, '\"'), '\"x\"', concat('\"s', cluster_id, '\"'), "
         f"{pad(22)}, CASE WHEN status = 'P' THEN '\"cut' ELSE concat('\"', volume, '\"') END)"
     )
-    torn = V.cases(t).select(F.col("cluster_id").alias("n"), row.alias("r"))
-    middle = F.expr("locate(',\"x\",\"x\",', r, 1)")
-    lines = torn.select(
-        F.explode(
-            F.array(
-                F.struct((F.col("n") * 2).alias("pos"), F.left("r", middle).alias("value")),
-                F.struct((F.col("n") * 2 + 1).alias("pos"), F.expr("substring(r, locate(',\"x\",\"x\",', r, 1) + 1)").alias("value")),
-            )
-        ).alias("l")
-    ).select("l.pos", "l.value")
-    return readers.resync_rows(lines, "pos", "value")
+    # the line break falls between two fields, as it may inside one
+    torn = V.cases(t).select(F.regexp_replace(row, ',"x","x",', ',"x",\n"x",').alias("value"))
+    folder = f"{shared_dir(t.spark)}/torn-{uuid.uuid4().hex}"
+    torn.write.text(folder)
+    return readers.torn_csv(t.spark, folder)

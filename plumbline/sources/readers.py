@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import json
-import zipfile
+import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.skew import running_total
+from plumbline.sources.pieces import records
 
 # --- fixed values: schemas and file-name forms ------------------------------
 RECORD_SCHEMA = "model string, matter string, condition string, kind string, verdict string, citation string, reporter string"
@@ -115,58 +112,26 @@ def parse_report_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def resync_rows(lines: DataFrame, pos: str, value: str) -> DataFrame:
+def _starts(lines: list[bytes]) -> list[bool]:
+    return [re.match(ROW_START.encode(), line) is not None for line in lines]
+
+
+def torn_csv(spark: SparkSession, path: str, longest: int = 1 << 24) -> DataFrame:
     """CSV rows whose quoting is broken, each parsed alone from one row start to the next.
 
-    A line that looks like the start of a row opens a record; a running count
-    of the starts numbers the records. A row that does not parse to enough
-    columns is dropped, and cannot swallow the rows after it.
+    A line that looks like the start of a row opens a record. A row that does not parse to enough columns is
+    dropped, and cannot swallow the rows after it; nor can one over ``longest`` bytes, which is cut.
     """
-    flagged = lines.select(pos, value, F.col(value).rlike(ROW_START).cast("long").alias("_start"))
-    numbered = running_total(flagged, "_start", [pos], "_record").filter("_record > 0")
-    joined = numbered.groupBy("_record").agg(F.array_sort(F.collect_list(F.struct(pos, value))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x: x[value]), "\n")
     fields = ", ".join(f"c{i} string" for i in range(ROW_WIDTH))
-    row = F.from_csv(text, f"{fields}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "multiLine": "true"})
-    parsed = joined.select(row.alias("r")).filter(
+    text = F.decode("data", "utf-8")
+    row = F.from_csv(text, f"{fields}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "multiLine": "true", "maxCharsPerColumn": "-1"})
+    parsed = records(spark, path, _starts, longest=longest).select(row.alias("r")).filter(
         F.col("r._bad").isNull() & F.col("r.c33").isNotNull() & F.col("r.c0").rlike(r"^\d+$") & F.col("r.c33").rlike(r"^\d*$")
     )
     typed = {"id": "long", "docket_id": "long"}
     return parsed.select(*[F.col(f"r.c{i}").cast(typed.get(n, "string")).alias(n) for i, n in ROW_COLUMNS.items()])
 
 
-def torn_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Resynchronised rows of text files; lines are in the order of their files, splits and places in a split.
-
-    Spark packs splits into partitions by size, so the partition's number says nothing of a line's place.
-    """
-    digits = lambda n: F.lpad(n.cast("string"), 20, "0")
-    place = F.concat("_metadata.file_path", F.lit(" "), digits(F.col("_metadata.file_block_start")), digits(F.monotonically_increasing_id()))
-    lines = spark.read.text(path).select("value", place.alias("pos"))
-    return resync_rows(lines, "pos", "value")
-
-
-def _members(blob: bytes):
-    with zipfile.ZipFile(io.BytesIO(blob)) as z:
-        names = set(z.namelist())
-        for name in sorted(names):
-            if name.endswith(".json"):
-                record = json.loads(z.read(name).decode("utf-8", "ignore"))
-                html = name[: -len(".json")] + ".html"
-                yield name, record.get("text"), z.read(html).decode("utf-8", "ignore") if html in names else None
-
-
-def zipped_cases(spark: SparkSession, path: str) -> DataFrame:
-    """One row per case of every volume archive: JSON member and its sibling HTML."""
-    def unpack(batches):
-        for batch in batches:
-            rows = [(p, n, t, h) for p, c in zip(batch["path"], batch["content"]) for n, t, h in _members(bytes(c))]
-            yield pd.DataFrame(rows, columns=["path", "member", "text", "html"])
-
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.mapInPandas(unpack, "path string, member string, text string, html string")
-
-
 def clean_excerpts(rows: DataFrame) -> DataFrame:
     """Benchmark excerpts from real filings: PDF sources whose map of planted errors is empty."""
     return rows.filter(F.col("filename").endswith(".pdf") & (F.coalesce(F.size("list_hallucinations"), F.lit(0)) <= 0))

@@ -1,7 +1,6 @@
 """Readers, writers, streams and packets on small files."""
 
 import json
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,15 +68,6 @@ def test_torn_csv(spark, tmp_path):
     assert got[1] == "A v. B" and got[4] == "D v. E" and set(got) >= {1, 4}
 
 
-def test_zipped_cases(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "1.zip", "w") as z:
-        z.writestr("cases/0001.json", json.dumps({"text": "opinion"}))
-        z.writestr("cases/0001.html", "<p>opinion</p>")
-        z.writestr("cases/0002.json", json.dumps({"text": "bare"}))
-    got = sorted((r.member, r.text, r.html) for r in readers.zipped_cases(spark, f"{tmp_path}/*.zip").collect())
-    assert got == [("cases/0001.json", "opinion", "<p>opinion</p>"), ("cases/0002.json", "bare", None)]
-
-
 def test_compressed_csv_and_clean_excerpts(spark, tmp_path):
     import bz2
 
