@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import names as N
 from plumbline.functions import text as X
+from plumbline.operators.cells import top_per_group
 from plumbline.operators.containment import contained
 from plumbline.session import stage
 
@@ -21,15 +21,14 @@ def occurrences(text: Column, probe: Column) -> Column:
     return F.regexp_count(text, F.concat(F.lit(r"(?=\Q"), probe, F.lit(r"\E)")))
 
 
-def probe_hits(probes: DataFrame, corpus: DataFrame, key: str, frag: str, doc_id: str, text: str) -> DataFrame:
-    """(key, doc_id, probe, n): documents with the fragment, else with its middle ten words.
+def probe_hits(frags: DataFrame, corpus: DataFrame, frag: str, doc_id: str, text: str) -> DataFrame:
+    """(frag, doc_id, probe, n): documents with the fragment, else with its middle ten words.
 
     Both forms of a fragment are searched in one pass over the corpus, equal
     fragments once; the middle words count only where no document holds the
-    whole fragment.
+    whole fragment. A fragment that k documents hold gives k rows, however many quotations ask for it.
     """
-    probes = stage(probes.select(key, frag))
-    asked = probes.select(F.col(frag).alias("_orig")).distinct()
+    asked = frags.select(F.col(frag).alias("_orig")).distinct()
     forms = F.array(
         F.struct(F.lit(0).alias("stage"), F.col("_orig").alias("probe")),
         F.when(
@@ -44,29 +43,41 @@ def probe_hits(probes: DataFrame, corpus: DataFrame, key: str, frag: str, doc_id
         asked.select(F.struct("_orig", "stage").alias("_form"), "_probe"), corpus, frag_id="_form", frag="_probe",
         doc_id=doc_id, text=text, extra={"n": occurrences(F.col(text), F.col("_probe")), "probe": F.col("_probe")},
     ).select("_form._orig", "_form.stage", doc_id, "n", "probe")
+    found = stage(found)
     whole = found.filter("stage = 0").select("_orig").distinct().withColumn("_whole", F.lit(True))
     kept = found.join(whole, "_orig", "left").filter((F.col("stage") == 0) | F.col("_whole").isNull())
-    return probes.select(key, F.col(frag).alias("_orig")).join(kept, "_orig").select(key, doc_id, "probe", "n")
+    return kept.select(F.col("_orig").alias(frag), doc_id, "probe", "n")
 
 
-def first_hits(hits: DataFrame, key: str, doc_id: str, k: int) -> DataFrame:
-    """The first k occurrences per key in corpus order; one document may fill several."""
-    order = Window.partitionBy(key).orderBy(doc_id)
-    # k documents always cover k occurrences, so the rank cuts before the running sum
-    ranked = hits.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (
-        ranked.withColumn("_before", before).filter(F.col("_before") < k)
-        .withColumn("taken", F.least(F.col("n"), F.lit(k) - F.col("_before"))).drop("_r", "_before")
+def holders(hits: DataFrame, frag: str, doc_id: str) -> DataFrame:
+    """One row a fragment: occurrences, distinct documents, and whether a probe is distinctive."""
+    return hits.groupBy(frag).agg(
+        F.sum("n").alias("occurrences"), F.countDistinct(doc_id).alias("sources"), F.bool_or(distinctive(F.col("probe"))).alias("distinctive")
     )
 
 
-def distinctive(probe: Column) -> Column:
-    return F.size(F.split(probe, " ")) >= DISTINCTIVE_WORDS
+def held_by_attributed(asked: DataFrame, hits: DataFrame, tokens: DataFrame, key: str, frag: str, doc_id: str, attributed: str) -> DataFrame:
+    """Keys whose fragment some document holds that shares a name with the attributed one.
+
+    ``tokens`` has (doc_id, tokens). The names of a fragment's holders, each once, meet the names of the
+    attributed document on (fragment, name): no quotation meets every holder.
+    """
+    names = hits.select(frag, doc_id).join(tokens, doc_id).select(frag, F.explode("tokens").alias("_name")).distinct()
+    own = tokens.select(F.col(doc_id).alias(attributed), "tokens")
+    wanted = asked.select(key, frag, attributed).join(own, attributed).select(key, frag, F.explode("tokens").alias("_name"))
+    return wanted.join(names, [frag, "_name"]).select(key).distinct()
 
 
-def names_overlap(caption: Column, attributed: Column) -> Column:
-    return F.arrays_overlap(N.case_tokens(caption), N.case_tokens(attributed))
+def first_hits(hits: DataFrame, key: str, doc_id: str, k: int) -> DataFrame:
+    """The first k occurrences per key in corpus order, for display; one document may fill several."""
+    ranked = top_per_group(hits, [key], [F.col(doc_id)], k, "_r")  # k documents always cover k occurrences
+    before = Window.partitionBy(key).orderBy(doc_id).rowsBetween(Window.unboundedPreceding, -1)
+    first = ranked.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("_before") < k)
+    return first.withColumn("taken", F.least(F.col("n"), F.lit(k) - F.col("_before"))).drop("_r", "_before")
+
+
+def distinctive(probe: Column) -> Column:
+    return F.size(F.split(probe, " ")) >= DISTINCTIVE_WORDS
 
 
 def spread_class(sources: Column) -> Column:

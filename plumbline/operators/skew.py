@@ -105,7 +105,9 @@ def running_total(
     totals = ranged.groupBy(*parts).agg(F.sum(value).alias("_sum"))
     offsets = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*parts).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ranged.withColumn("_inside", F.sum(value).over(inside)).join(offsets, parts)
+    offsets = offsets.select(*[F.col(c).alias(f"_o{c}") for c in parts], "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in parts]  # rows without a key have an order of their own
+    joined = ranged.withColumn("_inside", F.sum(value).over(inside)).join(offsets, same).drop(*[f"_o{c}" for c in parts])
     return joined.withColumn(out, F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_bucket")
 
 

@@ -13,7 +13,7 @@ from plumbline.operators import provenance as S
 from plumbline.operators import ranking as G
 from plumbline.operators import retrieval as Q
 from plumbline.operators import verdicts as D
-from plumbline.operators.skew import attach
+from plumbline.operators.skew import attach, salted_join
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.session import Tables, spread, stage
@@ -45,8 +45,10 @@ def quote_fragments_in_corpus(t: Tables) -> DataFrame:
     f = stage(f)
     unique = f.select("frag").distinct().withColumn("fid", F.col("frag"))
     pairs = J.contained(unique, corpus(t), frag_id="fid", frag="frag", doc_id="doc_id", text="norm")
-    return f.join(pairs, f.frag == pairs.fid).groupBy("quote_doc").agg(
-        F.count(F.lit(1)).alias("holders"), F.countDistinct("frag").alias("fragments"), F.min("doc_id").alias("first_doc")
+    # one row a fragment before it is joined back: k copies of a text do not meet k holders each
+    held = pairs.groupBy(F.col("fid").alias("frag")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    return f.join(held, "frag").groupBy("quote_doc").agg(
+        F.sum("n").alias("holders"), F.countDistinct("frag").alias("fragments"), F.min("first").alias("first_doc")
     )
 
 
@@ -87,8 +89,7 @@ def _hits_sql(mode: str) -> str:
 , hits AS (SELECT * FROM whole UNION ALL SELECT mid.frag, d.doc_id, probe FROM mid JOIN d ON contains(d.n, probe))
 , occ AS (SELECT h.frag, h.doc_id, h.probe, d.caption, len(list_filter(range(1, length(d.n) - length(h.probe) + 2), lambda i: substr(d.n, i, length(h.probe)) = h.probe)) AS n
     FROM hits h JOIN d ON d.doc_id = h.doc_id)
-, per AS (SELECT fm.doc_id AS q, fm.att, o.doc_id, o.probe, o.caption, o.n, coalesce(sum(o.n) OVER (PARTITION BY fm.doc_id ORDER BY o.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM fm JOIN occ o ON o.frag = fm.frag)"""
+, per AS (SELECT fm.doc_id AS q, fm.att, o.* FROM fm JOIN occ o ON o.frag = fm.frag)"""
 
 
 def _probes(t: Tables, mode: str) -> DataFrame:
@@ -97,45 +98,47 @@ def _probes(t: Tables, mode: str) -> DataFrame:
     return quotes.select(F.col("doc_id").alias("q"), att.alias("att"), X.longest_fragment("quote", mode).alias("frag"))
 
 
-def _captions(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.left(F.trim(F.left("text", F.lit(80))), F.lit(90)).alias("caption"))
+def _caption_names(t: Tables) -> DataFrame:
+    caption = F.left(F.trim(F.left("text", F.lit(80))), F.lit(90))
+    return t.documents.select("doc_id", N.case_tokens(caption).alias("tokens"))
 
 
-@query("V4 T3 J9", _hits_sql("literal") + f"""
-, top AS (SELECT *, least(n, 3 - before) AS taken FROM per WHERE before < 3)
-, j AS (SELECT fm.doc_id AS q, coalesce(CAST(sum(taken) AS BIGINT), 0) AS hits, coalesce(bool_or(list_has_any({_CASE_TOKENS.format('top.caption')}, {_CASE_TOKENS.format("coalesce(a.caption, '')")})), false) AS own,
+@query("V4 J9", _hits_sql("literal") + f"""
+, j AS (SELECT fm.doc_id AS q, coalesce(CAST(sum(per.n) AS BIGINT), 0) AS hits, coalesce(bool_or(list_has_any({_CASE_TOKENS.format('per.caption')}, {_CASE_TOKENS.format("coalesce(a.caption, '')")})), false) AS own,
     coalesce(bool_or(len(string_split(probe, ' ')) >= 6), false) AS distinctive
-  FROM fm LEFT JOIN top ON top.q = fm.doc_id LEFT JOIN d a ON a.doc_id = fm.att GROUP BY 1)
+  FROM fm LEFT JOIN per ON per.q = fm.doc_id LEFT JOIN d a ON a.doc_id = fm.att GROUP BY 1)
 SELECT q, hits, CASE WHEN hits = 0 THEN 'not_in_corpus' WHEN own THEN 'found_in_attributed' WHEN distinctive THEN 'misattributed' ELSE 'generic_phrase_match' END AS cls FROM j""")
 def provenance_classes(t: Tables) -> DataFrame:
+    """Classes over all holders of a quotation's longest fragment."""
     probes = stage(_probes(t, "literal"))
-    hits = S.probe_hits(probes, corpus(t), "q", "frag", "doc_id", "norm")
-    caps = _captions(t)
-    top = S.first_hits(hits, "q", "doc_id", S.FIRST_HITS).join(caps, "doc_id").select("q", "probe", "taken", "caption")
-    att = caps.select(F.col("doc_id").alias("att"), F.col("caption").alias("attributed"))
-    j = probes.select("q", "att").join(top, "q", "left").join(att, "att", "left")
-    g = j.groupBy("q").agg(
-        F.coalesce(F.sum("taken"), F.lit(0)).alias("hits"),
-        F.coalesce(F.bool_or(S.names_overlap(F.col("caption"), F.col("attributed"))), F.lit(False)).alias("own"),
-        F.coalesce(F.bool_or(S.distinctive(F.col("probe"))), F.lit(False)).alias("distinctive"),
-    )
-    return g.select("q", "hits", D.provenance_class(F.col("hits"), F.col("own"), F.col("distinctive")).alias("cls"))
+    hits = stage(S.probe_hits(probes, corpus(t), "frag", "doc_id", "norm"))
+    own = S.held_by_attributed(probes, hits, _caption_names(t), "q", "frag", "doc_id", "att").withColumn("own", F.lit(True))
+    j = salted_join(probes.select("q", "frag"), S.holders(hits, "frag", "doc_id"), ["frag"], ["q"]).join(own, "q", "left")
+    hit = F.coalesce("occurrences", F.lit(0))
+    return j.select("q", hit.alias("hits"), D.provenance_class(hit, F.coalesce("own", F.lit(False)), F.coalesce("distinctive", F.lit(False))).alias("cls"))
 
 
-@query("V5 T4", _hits_sql("strict") + """
-, top AS (SELECT *, least(n, 25 - before) AS taken FROM per WHERE before < 25)
-, g AS (SELECT q, CAST(sum(taken) AS BIGINT) AS occurrences, count(DISTINCT caption) AS sources, bool_or(len(string_split(probe, ' ')) >= 6) AS distinctive FROM top GROUP BY 1)
+@query("V5", _hits_sql("strict") + """
+, g AS (SELECT q, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT doc_id) AS sources, bool_or(len(string_split(probe, ' ')) >= 6) AS distinctive FROM per GROUP BY 1)
 SELECT q, occurrences, sources, distinctive, CASE WHEN sources = 1 THEN 'one' WHEN sources <= 6 THEN 'few' ELSE 'many' END AS spread FROM g""")
 def accurate_provenance(t: Tables) -> DataFrame:
-    hits = S.probe_hits(_probes(t, "strict"), corpus(t), "q", "frag", "doc_id", "norm")
-    top = S.first_hits(hits, "q", "doc_id", S.COUNT_CAP).join(_captions(t), "doc_id")
-    g = top.groupBy("q").agg(
-        F.sum("taken").alias("occurrences"), F.countDistinct("caption").alias("sources"),
-        F.bool_or(S.distinctive(F.col("probe"))).alias("distinctive"),
-    )
+    probes = stage(_probes(t, "strict"))
+    held = S.holders(S.probe_hits(probes, corpus(t), "frag", "doc_id", "norm"), "frag", "doc_id")
+    g = salted_join(probes.select("q", "frag"), held, ["frag"], ["q"], "inner").drop("frag")
     return g.withColumn("spread", S.spread_class(F.col("sources")))
 
 
+@query("T3 T4", _hits_sql("literal") + """
+, o AS (SELECT frag, doc_id, n, coalesce(sum(n) OVER (PARTITION BY frag ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY frag) AS total FROM occ)
+SELECT md5(frag) AS frag_md5, doc_id, CAST(least(n, 3 - before) AS BIGINT) AS shown, CAST(least(total, 25) AS BIGINT) AS counted FROM o WHERE before < 3""")
+def first_three_hits(t: Tables) -> DataFrame:
+    """The first three occurrences of a fragment, as a report shows them, beside its count up to 25."""
+    hits = stage(S.probe_hits(stage(_probes(t, "literal")), corpus(t), "frag", "doc_id", "norm"))
+    shown = S.first_hits(hits.select("frag", "doc_id", "n"), "frag", "doc_id", S.FIRST_HITS)
+    counted = hits.groupBy("frag").agg(F.least(F.sum("n"), F.lit(S.COUNT_CAP)).alias("counted"))
+    return shown.join(counted, "frag").select(F.md5("frag").alias("frag_md5"), "doc_id", F.col("taken").cast("long").alias("shown"), F.col("counted").cast("long").alias("counted"))
+
+
 _TWELVE = "CASE WHEN len(w) <= 12 THEN f ELSE array_to_string(w[len(w)//2 - 5: len(w)//2 + 6], ' ') END"
 
 
