@@ -5,7 +5,8 @@ that text. Every fragment gets one anchor that any containing text must also
 produce; fragments meet texts on equal anchors and each meeting is verified
 with a plain substring test. Anchor kinds by number of words in the fragment:
 
-* five or more: the longest three-word run that leaves out the first and last word
+* five or more: the longest three-word run that leaves out the first and last word; where fragments
+  are too many to be broadcast, the run that the fewest texts of a sample hold
 * three or four: the longest inner word
 * two: the last seven letters of the first word, or the first seven of the second,
   whichever word is longer
@@ -19,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import let
-from plumbline.session import union_all
+from plumbline.operators.skew import salted_join
+from plumbline.session import stage, union_all
 
 # Fragments up to this many bytes, keys included, are broadcast; beyond it the
 # join shuffles keys only and fetches the texts of the meeting pairs.
@@ -28,6 +30,9 @@ ROW_BYTES = 64
 AFFIX = 7
 GRAM = 15
 GAPLESS_GRAM = 8
+# Where fragments are many, the commonest runs of a sample of the texts are avoided as anchors. Which ones decides balance only.
+SAMPLE_TEXTS = 20_000
+COMMON_RUNS = 10_000
 
 RUN, INNER, AFFIXES, LONG, BARE = "run", "inner", "affix", "long", "bare"
 
@@ -79,6 +84,39 @@ def with_anchor(frags: DataFrame, frag: str) -> DataFrame:
     return made.withColumn("_kind", F.col("_a.kind")).withColumn("_anchor", F.col("_a.anchor")).drop("_a")
 
 
+def _runs(w: Column) -> Column:
+    """The runs a fragment of five words or more may be anchored at."""
+    return F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 4)),
+        lambda i: F.struct((F.length(_word(w, i)) + F.length(_word(w, i + 1)) + F.length(_word(w, i + 2))).alias("letters"), _run_hash(w, i).alias("h")),
+    )
+
+
+def common_runs(docs: DataFrame, doc_id: str, text: str, sample: int = SAMPLE_TEXTS, most: int = COMMON_RUNS) -> DataFrame:
+    """(h, texts): the runs that most of the sampled texts hold, at most ``most`` of them."""
+    step = max(1, docs.count() // sample)
+    looked = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(step)) == 0)  # a filter on the id goes below the normalisation
+    counted = looked.select(F.explode(_text_keys(F.col(text), {RUN})).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("texts"))
+    return stage(counted.where("texts > 1").orderBy(F.desc("texts"), "h").limit(most))
+
+
+def rarest_anchor(anchored: DataFrame, common: DataFrame, frag_id: str, frag: str) -> DataFrame:
+    """Fragments of five words or more at the run that the fewest texts hold, the longest of equals."""
+    long = anchored.where(F.col("_kind") == RUN)
+    each = long.select(frag_id, frag, F.explode(let(F.split(frag, " "), _runs)).alias("r")).select(frag_id, frag, F.col("r.letters").alias("letters"), F.col("r.h").alias("h"))
+    known = each.join(F.broadcast(common), "h", "left")  # COMMON_RUNS rows at most
+    best = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), (-F.col("letters")).alias("k"), "h"))["h"]
+    chosen = known.groupBy(frag_id, frag).agg(best.alias("_anchor")).withColumn("_kind", F.lit(RUN))
+    return anchored.where(F.col("_kind") != RUN).unionByName(chosen)
+
+
+def _nested(docs: DataFrame, frags: DataFrame, size: int, limit: int, text: str, frag: str) -> DataFrame:
+    """Every text against every fragment, by broadcasts of about ``limit`` bytes each."""
+    blocks = max(1, -(-size // max(1, limit)))
+    part = F.pmod(F.xxhash64(frag), F.lit(blocks))
+    return union_all([docs.join(F.broadcast(frags.where(part == b)), F.contains(F.col(text), F.col(frag))) for b in range(blocks)])
+
+
 def _text_keys(text: Column, kinds: set[str]) -> Column:
     """Every anchor of the wanted kinds that a text produces, without repeats."""
 
@@ -115,7 +153,7 @@ def _meet(anchors: DataFrame, docs: DataFrame, doc_id: str, text: str, keys: Col
         exploded = keyed.select(doc_id, text, F.explode_outer("_keys").alias("_anchor"))
         return exploded.join(F.broadcast(anchors), "_anchor")
     keyed = docs.select(doc_id, keys.alias("_keys"))
-    pairs = keyed.select(doc_id, F.explode_outer("_keys").alias("_anchor")).join(anchors, "_anchor")
+    pairs = salted_join(keyed.select(doc_id, F.explode_outer("_keys").alias("_anchor")), anchors, ["_anchor"], [doc_id], "inner")
     return pairs.join(docs.select(doc_id, text), doc_id)
 
 
@@ -152,14 +190,16 @@ def contained(
     found = []
     keyed = set(sizes) - {BARE}
     if keyed:
-        anchors = anchored.filter(F.col("_anchor").isNotNull()).drop("_kind")
-        keys = _text_keys(F.col(text), keyed)
         many = sum(n for kind, n in sizes.items() if kind != BARE)
-        found.append(_meet(anchors, docs, doc_id, text, keys, _strategy(many, limit)))
+        strategy = _strategy(many, limit)
+        if RUN in keyed and strategy == "shuffle":
+            anchored = rarest_anchor(anchored, common_runs(docs, doc_id, text), frag_id, frag)
+        anchors = anchored.filter(F.col("_anchor").isNotNull()).drop("_kind").select(frag_id, frag, "_anchor")
+        found.append(_meet(anchors, docs, doc_id, text, _text_keys(F.col(text), keyed), strategy))
     if BARE in sizes or not found:
         # under fifteen letters and without a whole inner word: nothing to key on
-        found.append(docs.select(doc_id, text).join(anchored.filter(F.col("_kind") == BARE).drop("_kind", "_anchor"),
-                                                    F.contains(F.col(text), F.col(frag))))
+        bare = anchored.filter(F.col("_kind") == BARE).select(frag_id, frag)
+        found.append(_nested(docs.select(doc_id, text), bare, sizes.get(BARE, 0), max(limit, 1 << 20), text, frag))
     pairs = union_all([f.select(frag_id, frag, doc_id, text) for f in found])
     verified = pairs.filter(F.contains(F.col(text), F.col(frag)))
     return verified.select(frag_id, doc_id, *[c.alias(n) for n, c in (extra or {}).items()])
@@ -190,7 +230,7 @@ def contained_gapless(
     keys = F.array_distinct(F.transform(runs, lambda g: F.xxhash64(g)))
     pairs = _meet(anchors, solid, doc_id, "_t", keys, _strategy(size, limit)).select(frag_id, "_f", doc_id, "_t")
     short = bare.filter(F.length("_f") < GAPLESS_GRAM)
-    rest = solid.join(short, F.contains(F.col("_t"), F.col("_f"))).select(frag_id, "_f", doc_id, "_t")
+    rest = _nested(solid, short, short.agg(_bytes("_f")).first()[0] or 0, max(limit, 1 << 20), "_t", "_f").select(frag_id, "_f", doc_id, "_t")
     return (
         pairs.filter(F.contains(F.col("_t"), F.col("_f"))).unionByName(rest).select(frag_id, doc_id)
     )

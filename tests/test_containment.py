@@ -61,7 +61,7 @@ def test_probe_falls_back_to_the_middle_words(spark):
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id int, norm string")
     swapped = " ".join(["zz", *words[1:13], "yy"])
     p = spark.createDataFrame([(1, " ".join(words)), (2, swapped), (3, "nothing like it at all here")], "q int, frag string")
-    hits = {(r.q, r.doc_id, r.n) for r in S.probe_hits(p, d, "q", "frag", "doc_id", "norm").collect()}
+    hits = {(r.q, r.doc_id, r.n) for r in S.probe_hits(p, d, "frag", "doc_id", "norm").join(p, "frag").collect()}
     assert hits == {(1, 2, 1), (2, 0, 1), (2, 2, 1)}
 
 
@@ -72,3 +72,27 @@ def test_first_hits_counts_repeats_in_order(spark):
     got = {(r.q, r.doc_id, r.taken) for r in S.first_hits(h, "q", "doc_id", 3).collect()}
     assert got == {(1, 5, 2), (1, 9, 1), (2, 3, 3)}
     assert spark.sql("select 'aaaa' as t, 'aa' as p").select(S.occurrences(F.col("t"), F.col("p"))).first()[0] == 3
+
+
+def test_common_runs_are_no_anchors(spark):
+    """300 texts share a license line that every fragment quotes: only the rest of a fragment tells them apart."""
+    from plumbline.operators import containment as J
+
+    line = "licensed under extraordinarily permissive international conditions"
+    word = lambda i: f"w{i * 7919 % 997}x"
+    docs = spark.createDataFrame([(i, f"start {line} then {word(i)} {word(i + 1)} {word(i + 2)} end") for i in range(300)], "did long, text string")
+    frags = spark.createDataFrame([(i, f"{line} then {word(i)} {word(i + 1)} {word(i + 2)} e") for i in range(300)], "fid long, frag string")
+    anchored = J.with_anchor(frags, "frag")
+    better = J.rarest_anchor(anchored, J.common_runs(docs, "did", "text"), "fid", "frag")
+    assert anchored.select("_anchor").distinct().count() == 1 and better.select("_anchor").distinct().count() > 250
+    rows = J.contained(frags, docs, frag_id="fid", frag="frag", doc_id="did", text="text", limit=0).collect()
+    assert sorted(map(tuple, rows)) == [(i, i) for i in range(300)]
+
+
+def test_short_fragments_in_blocks(spark):
+    from plumbline.operators import containment as J
+
+    docs = spark.createDataFrame([(i, f"text{i} b{i}") for i in range(20)], "did long, text string")
+    frags = spark.createDataFrame([(i, f"b{i}") for i in range(20)], "fid long, frag string")
+    parts = J._nested(docs, frags, 20, 4, "text", "frag").select("fid", "did").collect()
+    assert len(parts) == len(set(parts)) and {(r.fid, r.did) for r in parts} == {(i, j) for i in range(20) for j in range(20) if f"b{i}" in f"text{j} b{j}"}
