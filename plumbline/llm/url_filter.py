@@ -18,12 +18,13 @@ example; templates decide the rest:
    examples, each weighing `prior` examples. A template is rejected (block) where the smoothed share is
    `reject` or more.
 
-Levels beyond `depth` form one last segment. Each level is a few aggregations and
+Each distinct (host, path) counts once in all of this, however many pages have it: a verdict is a function of
+the set of urls, and crawling a url again changes none. Levels beyond `depth` form one last segment. Each level is a few aggregations and
 joins on (host, template); only counts are joined back.
 
 Defined results: a null url or one without `://` has empty host and path, one
-template, and the verdict of step 3 for it. Without any example the verdict is allow. Rows equal in page_id
-are judged each by itself. Other columns are ignored.
+template, and the verdict of step 3 for it. Without any example the verdict is allow. Repeated rows and page_ids
+give a row each. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -93,8 +94,10 @@ def url_verdicts(
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     parsed = parsed.withColumn("rule", rule).withColumn("fixed", verdict)
     parsed = parsed.withColumn("segs", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.concat(F.slice(all_segs, 1, depth - 1), tail)))
-    # a child's rows are a third of all at worst; AQE splits such a partition
-    tree = stage(parsed.select("*", F.when(F.col("fixed") == "block", 1).when(F.col("fixed") == "allow", 0).cast("long").alias("label"), F.lit("").alias("template")))
+    parsed = stage(parsed)
+    site = ["host", "path"]
+    urls = parsed.select(*site, "fixed", "segs").groupBy(*site).agg(F.first("fixed").alias("fixed"), F.first("segs").alias("segs"))  # both follow from the url
+    tree = stage(urls.select("*", F.when(F.col("fixed") == "block", 1).when(F.col("fixed") == "allow", 0).cast("long").alias("label"), F.lit("").alias("template")))
     levels = tree.agg(F.max(F.size("segs"))).first()[0] or 0
     for level in range(levels):
         tree = _step(tree, level, least_values, variable_share, similar_z)
@@ -106,6 +109,7 @@ def url_verdicts(
     smooth = lambda k, n, base: (F.col(k) + prior * base) / (F.col(n) + prior)
     shares = own.join(total(["host"], "h"), "host").join(total(["template"], "t"), "template")
     share = smooth("k", "n", smooth("hk", "hn", smooth("tk", "tn", overall)))
-    judged = tree.join(shares.select("host", "template", share.alias("share")), ["host", "template"])
+    judged = tree.join(shares.select("host", "template", share.alias("share")), ["host", "template"]).select(*site, "template", "share")
     chosen = F.coalesce("fixed", F.when(F.col("share") >= reject, "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", "rule", chosen.alias("verdict"), "template", "share")
+    # one row an url on the right; AQE splits the pages of an url that very many have
+    return parsed.drop("segs").join(judged, site).select("page_id", "host", "path", "rule", chosen.alias("verdict"), "template", "share")
