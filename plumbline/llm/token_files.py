@@ -35,6 +35,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,7 @@ class Encoder:
             self.opens[k] = token.startswith("Ġ")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}  # parts behind a space: neither empty nor with white space at an end
+        self.before: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
@@ -79,28 +81,36 @@ class Encoder:
             data, cuts = ids.tobytes(), [*(at * ids.itemsize).tolist(), len(ids) * ids.itemsize]
             self.known.update((part, data[a:b]) for part, a, b in zip(some, cuts, cuts[1:]))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of self.dtype."""
+    def _renew(self) -> None:
+        """Past CACHE parts a new generation begins; parts of the one before are carried over as they are met."""
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         if len(self.heads) > CACHE // 8:
             self.heads.clear()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes of self.dtype."""
+        self._renew()
         known, heads, whole = self.known, self.heads, set()
         cut = [t.split(" ") for t in texts]
         new = set().union(*cut) - known.keys()
-        bad = {p for p in new if not p or p[0].isspace() or p[-1].isspace() or any(x in p for x in self.special)}
+        carried = new & self.before.keys()
+        known.update(zip(carried, map(self.before.__getitem__, carried)))
+        new -= carried
+        bad = {p for p in new if p.strip() != p or not p}
+        text = " ".join(new)
+        bad |= {p for x in self.special if x in text for p in new if x in p}
         if bad:
             whole = {k for k, parts in enumerate(cut) if not bad.isdisjoint(parts)}
         self._learn(list(new - bad))
+        first = list({parts[0] for k, parts in enumerate(cut) if k not in whole} - heads.keys())
+        heads.update((h, np.array(e.ids, self.dtype).tobytes()) for h, e in zip(first, self.tokenizer.encode_batch_fast(first, add_special_tokens=False)))
         out = []
         for k, (text, parts) in enumerate(zip(texts, cut)):
             if k in whole:
                 out.append(self.ids(text).tobytes())
-                continue
-            head = heads.get(parts[0])
-            if head is None:
-                head = heads[parts[0]] = self.ids(parts[0]).tobytes()
-            out.append(head + b"".join([known[p] for p in parts[1:]]))
+            else:
+                out.append(heads[parts[0]] + b"".join(map(known.__getitem__, islice(parts, 1, None))))
         return out
 
 
