@@ -10,10 +10,6 @@ SCORED_CITATIONS = ("exists", "not_found")
 SCORED_QUOTES = ("accurate", "near_miss", "inaccurate")
 
 
-def count_where(cond: Column) -> Column:
-    return F.count_if(cond)
-
-
 def share(numerator: Column, denominator: Column) -> Column:
     """Null, never 0 or 1, when the denominator is empty."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))

@@ -31,11 +31,6 @@ def tally(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return listed.select(*group, F.array_join(F.transform("l", lambda x: x["s"]), ",").alias("tally"))
 
 
-def merge_tallies(tallies: DataFrame, group: list[str], value: str, n: str) -> DataFrame:
-    """Add counters up: the merge of maps is a re-sum of their rows."""
-    return tallies.groupBy(*group, value).agg(F.sum(n).alias(n))
-
-
 def with_totals(rows: DataFrame, cell: list[str], measures: dict[str, Column]) -> DataFrame:
     """Cells, per-first-key totals and the grand total; totals carry ``_all`` in the key columns.
 

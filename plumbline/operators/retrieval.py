@@ -25,7 +25,6 @@ QUERY_STOP = (
 EDGE_MARKS = ".,;:()"
 QUOTE_EDGE_MARKS = ".,;:()\"'“”"
 DIMENSIONS = 512
-RELEVANCE_FLOOR = 0.55
 # ----------------------------------------------------------------------------
 
 

@@ -32,10 +32,6 @@ def head_per_class(df: DataFrame, seed: int, ids: list[str], cls: str, n: int) -
     return top_per_group(df, [cls], [draw_key(seed, *ids), *[F.col(i) for i in ids]], n, "_rk").drop("_rk")
 
 
-def keep_with_probability(df: DataFrame, seed: int, ids: list[str], p: Column) -> DataFrame:
-    return df.filter(uniform(seed, *ids) < p)
-
-
 def strided(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
     """Every k-th row so that about n remain, first n of them."""
     numbered = number_rows(df, order_by, "_i")

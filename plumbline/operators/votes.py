@@ -21,11 +21,6 @@ def last_verdict(raw, pattern: str = STRONGER) -> Column:
     return F.get(F.reverse(F.regexp_extract_all(raw, F.lit(pattern), F.lit(1))), F.lit(0))
 
 
-def first_verdict(raw) -> Column:
-    v = F.lower(F.regexp_extract(raw, SUPPORT, 1))
-    return F.when(v != "", v)
-
-
 def majority(columns: list[str], first: str, second: str) -> Column:
     """Winner of the valid votes; null on a tie or when nobody voted."""
     tally = lambda side: sum((F.when(F.col(c) == side, 1).otherwise(0) for c in columns), F.lit(0))

@@ -61,7 +61,7 @@ def cell_shares(t: Tables) -> DataFrame:
     )
 
 
-@query("A5 A36", WITH + """
+@query("A5", WITH + """
 , n AS (SELECT model, kind, verdict, count(*) AS c FROM records GROUP BY 1, 2, 3)
 SELECT model, kind, string_agg(concat(verdict, '=', CAST(c AS VARCHAR)), ',' ORDER BY verdict) AS tally
 FROM n GROUP BY 1, 2""")
@@ -423,7 +423,7 @@ def predicate_subset_totals(t: Tables) -> DataFrame:
     )
 
 
-@query("M5 R6", WITH + f"""
+@query("M5", WITH + f"""
 SELECT model, condition, count(*) FILTER (verdict='accurate') AS accurate_n, count(*) FILTER (verdict IN {SCORED}) AS scored_n
 FROM records WHERE matter IN (SELECT DISTINCT doc_id % 48 FROM labels WHERE toxic = 1) GROUP BY 1, 2""")
 def subset_cells(t: Tables) -> DataFrame:

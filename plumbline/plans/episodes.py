@@ -131,7 +131,7 @@ def kept_and_surviving_words(t: Tables) -> DataFrame:
     )
 
 
-@query("E4 A22 A26 W14 I15", f"WITH {_WORDS}" + """
+@query("E4 A26 W14 I15", f"WITH {_WORDS}" + """
 , a AS (SELECT i.conv_id, i.arm, i.w FROM items i JOIN lastr l ON l.conv_id=i.conv_id AND i.turn=l.t0 WHERE verdict='exists'), z AS (SELECT i.conv_id, i.w FROM items i JOIN lastr l ON l.conv_id=i.conv_id AND i.turn=l.t1)
 , n AS (SELECT conv_id, arm, count(*) AS rounds FROM rounds GROUP BY 1, 2), r AS (SELECT arm, count(*) AS episodes, CAST(sum(rounds) AS BIGINT) AS rounds FROM n GROUP BY 1)
 , c AS (SELECT a.arm, count(*) AS acc_r0, count(*) FILTER (z.w IS NULL) AS removed FROM a LEFT JOIN z ON z.conv_id=a.conv_id AND z.w=a.w GROUP BY 1)

@@ -160,7 +160,7 @@ def packets(t: Tables) -> DataFrame:
     )
 
 
-@query("F41", r"""
+@query("", r"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: array_to_string(list_filter(string_split(p, '. '),
    lambda x: NOT regexp_matches(x, '(^|[ ,])(ouen|ones|thre|enenst)')), '. ')), lambda p: p <> '') AS kept FROM documents)
 SELECT doc_id, len(kept) AS paragraphs, md5(array_to_string(kept, chr(10))) AS kept_md5 FROM s""")
@@ -170,7 +170,7 @@ def scrubbed_paragraphs(t: Tables) -> DataFrame:
     return spread(t.documents).select("doc_id", F.size(kept).cast("long").alias("paragraphs"), F.md5(F.array_join(kept, "\n")).alias("kept_md5"))
 
 
-@query("W9 T5")
+@query("")
 def quota_selection(t: Tables) -> DataFrame:
     c = V.cases(t).select("cluster_id", "reporter", F.split("case_name", " v")[0].isin("UNITED STATES", "CANADA", "CHINA", "FRANCE").alias("gov"))
     return K.quota_selection(c.withColumn("draw", S.draw_key(20260903, "cluster_id")), "reporter", "gov", "draw", 16)

@@ -27,7 +27,7 @@ def _resolved(t: Tables) -> DataFrame:
     return P.resolve(V.claims(t), V.index(t), V.clusters(t), V.ROW_ID)
 
 
-@query("J1 J2 J3 F16 K1", RES + """
+@query("J1 J2 J3 F16", RES + """
 SELECT draft, ord, part, supp, rep_key, verdict, cluster_id, case_name, date_filed,
   volume IS NOT NULL AND page IS NOT NULL AND reporter = 'WL' AS vendor_cite,
   volume IS NOT NULL AND page IS NOT NULL AND reporter <> 'WL' AND NOT covered AS coverage_gap FROM resolved""")
@@ -51,7 +51,7 @@ def _checked(t: Tables) -> DataFrame:
     return P.with_metadata_checks(_resolved(t), F.lit(CUTOFF))
 
 
-@query("A2 J7 V16 J22", RES + _CHECKED + """
+@query("A2 J7 V16", RES + _CHECKED + """
 SELECT condition, count(*) AS n_citations,
   CAST(count(*) FILTER (verdict='exists') AS DOUBLE) / nullif(count(*) FILTER (verdict IN ('exists','not_found')), 0) AS existence_rate,
   CAST(count(*) FILTER (verdict='unresolvable') AS DOUBLE) / nullif(count(*), 0) AS unresolvable_rate,
@@ -106,7 +106,7 @@ def pin_range_verdicts(t: Tables) -> DataFrame:
     return P.check_pins(V.claims(t), V.index(t), V.ROW_ID).select(*V.ROW_ID, "next_start", "pin_verdict")
 
 
-@query("V17 V18 A34", RES + """
+@query("V17 V18", RES + """
 , y AS (SELECT condition, draft, coalesce(CAST(left(date_filed, 4) AS BIGINT), paren_year) AS yr FROM resolved)
 SELECT condition, count(yr) AS checked, count(*) FILTER (yr >= 1970) AS violated, count(DISTINCT draft) FILTER (yr >= 1970) AS drafts_violating,
   CAST(count(*) FILTER (yr >= 1970) AS DOUBLE) / nullif(count(yr), 0) AS violation_share FROM y GROUP BY 1""")
@@ -154,7 +154,7 @@ def parallel_citation_pairs(t: Tables) -> DataFrame:
     return a.join(b, "cluster_id").join(V.clusters(t).select("cluster_id", "case_name"), "cluster_id")
 
 
-@query("J6 S17 S11", """
+@query("J6", """
 WITH tiers AS (
   SELECT d.doc_id, 0 AS rank, 'cache' AS src FROM documents d JOIN labels l ON l.doc_id=d.doc_id AND l.quality=1 WHERE length(text) > 0
   UNION ALL SELECT doc_id, 1, 'import' FROM documents WHERE lang='en' AND length(text) > 0
@@ -235,7 +235,7 @@ def source_cited_elsewhere(t: Tables) -> DataFrame:
     )
 
 
-@query("J16 W12 I12", f"WITH {V.RECORDS}" + """
+@query("J16 I12", f"WITH {V.RECORDS}" + """
 , r AS (SELECT model, matter, condition, CAST(count(*) FILTER (verdict='accurate') AS DOUBLE) / nullif(count(*) FILTER
    (verdict IN ('accurate','near_miss','inaccurate')), 0) AS rate FROM records GROUP BY 1, 2, 3)
 SELECT c.model, c.condition, count(*) AS pairs, round(avg(c.rate - b.rate), 9) AS mean_diff, count(*) FILTER (c.rate > b.rate) AS up
@@ -287,7 +287,7 @@ def disjoint_random_samples(t: Tables) -> DataFrame:
     return first.select(F.lit("first").alias("draw"), "doc_id").unionByName(second.select(F.lit("second").alias("draw"), "doc_id"))
 
 
-@query("T7 T8 W9", """
+@query("T7 T8", """
 SELECT quality, doc_id FROM (SELECT quality, doc_id, row_number() OVER (PARTITION BY quality
   ORDER BY md5(concat_ws('-', '7', CAST(doc_id AS VARCHAR))), doc_id) AS rk FROM labels) WHERE rk <= 30""")
 def random_head_per_class(t: Tables) -> DataFrame:

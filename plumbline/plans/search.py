@@ -192,7 +192,7 @@ def hashed_bow_vectors(t: Tables) -> DataFrame:
     return Q.hashed_vectors(t.conversations, ["conv_id", "turn"], "text")
 
 
-@query("R5 T2 R6", """
+@query("R5 T2", """
 WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations)
 , tm AS (SELECT conv_id, turn, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i+1])))) AS term FROM w)
 , h AS (SELECT conv_id, turn, md5(term) AS h FROM tm)
@@ -284,7 +284,7 @@ def opinion_windows(t: Tables) -> DataFrame:
     return q.select("doc_id", F.md5(Q.proportional_window("text", "n", "quote", 600)).alias("window_md5"))
 
 
-@query("R7")
+@query("")
 def closest_regions_of_failed_quotes(t: Tables) -> DataFrame:
     q = V.doc_quotes(t).select("doc_id", "form", X.longest_fragment("quote", "literal").alias("f"), X.normalize("text").alias("n"))
     failed = q.filter(~F.contains(F.col("n"), F.col("f")))
@@ -292,7 +292,7 @@ def closest_regions_of_failed_quotes(t: Tables) -> DataFrame:
     return r.select("doc_id", "form", F.col("r.ratio").alias("ratio"), F.col("r.window").alias("window"))
 
 
-@query("T6 M6 J22", f"WITH {V.DOC_QUOTES}" + f""", f AS (SELECT doc_id, source, form, {V.frags('quote', 'strict')} AS fr, {NORM} AS n FROM doc_quotes)
+@query("T6 M6", f"WITH {V.DOC_QUOTES}" + f""", f AS (SELECT doc_id, source, form, {V.frags('quote', 'strict')} AS fr, {NORM} AS n FROM doc_quotes)
 , v AS (SELECT doc_id, source, form, CASE WHEN len(fr) = 0 THEN 'no_fragment' WHEN len(list_filter(fr, lambda x: NOT {V.either('x', 'n')})) = 0 THEN 'accurate'
    WHEN list_min(list_transform(fr, lambda x: {V.coverage('x', 'n')})) >= 0.85 THEN 'near_miss' ELSE 'inaccurate' END AS verdict FROM f)
 SELECT source, count(*) FILTER (form = 'plain') AS named, count(*) FILTER (verdict = 'inaccurate') AS residue, min(CASE WHEN verdict = 'inaccurate' THEN concat('doc ', CAST(doc_id AS VARCHAR), ' (', form, ')') END) AS example FROM v GROUP BY 1""")

@@ -86,7 +86,7 @@ def quotes_in_documents(t: Tables) -> DataFrame:
     return q.select("doc_id", F.col("q.start").cast("long").alias("start"), "q.quote")
 
 
-@query("F7 F10 S7", f"WITH {V.DRAFTS}, txt AS (SELECT draft AS id, text FROM drafts), {_QUOTE_ROWS} SELECT id AS draft, start, quote FROM spans")
+@query("F7 F10", f"WITH {V.DRAFTS}, txt AS (SELECT draft AS id, text FROM drafts), {_QUOTE_ROWS} SELECT id AS draft, start, quote FROM spans")
 def quotes_in_drafts(t: Tables) -> DataFrame:
     q = V.drafts(t).select("draft", F.explode(X.quote_spans("text")).alias("q"))
     return q.select("draft", F.col("q.start").cast("long").alias("start"), "q.quote")
@@ -330,14 +330,14 @@ def text_from_marker(t: Tables) -> DataFrame:
     return spread(t.documents).select("doc_id", F.md5(X.from_marker("text", "tion|ung")).alias("body_md5"))
 
 
-@query("M18 U4", DQ + f"""
+@query("M18", DQ + f"""
 SELECT doc_id, substr(sha256(text), 1, 12) AS materials_hash, substr(sha256(quote), 1, 12) AS quote_hash FROM doc_quotes""")
 def material_hashes(t: Tables) -> DataFrame:
     h = lambda c: F.left(F.sha2(c, 256), F.lit(12))
     return V.doc_quotes(t).select("doc_id", h(F.col("text")).alias("materials_hash"), h(F.col("quote")).alias("quote_hash"))
 
 
-@query("M12 F27", r"""
+@query("M12", r"""
 WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\.\s+')) AS s FROM documents)
 SELECT doc_id, count(*) AS sentences, count(*) FILTER (length(s) BETWEEN 60 AND 200 AND regexp_matches(s, '^[A-Z][A-Za-z ,]+$')) AS clean,
   count(*) FILTER (contains(s, ',')) AS with_comma FROM s GROUP BY 1""")
