@@ -179,14 +179,21 @@ def wilson_intervals(t: Tables) -> DataFrame:
     return c.select("condition", "k", "n", bound(-1).alias("low"), bound(1).alias("high"))
 
 
-@query("I9 M15")
+@query("I9 M15", f"WITH {V.RECORDS}" + """
+, g AS (SELECT model, count(*) FILTER (condition = 'baseline' AND verdict = 'exists') AS a, count(*) FILTER (condition = 'baseline' AND verdict = 'not_found') AS b,
+   count(*) FILTER (condition = 'combo' AND verdict = 'exists') AS c, count(*) FILTER (condition = 'combo' AND verdict = 'not_found') AS d FROM records WHERE kind = 'citation' GROUP BY 1)
+, k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM g)
+, l AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1)
+   - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS logp FROM k)
+, o AS (SELECT model, logp AS own FROM l WHERE x = a)
+SELECT l.model, a, b, c, d, round(least(1.0, sum(exp(logp)) FILTER (logp <= own + 1e-7)), 9) AS p FROM l JOIN o ON o.model = l.model GROUP BY ALL""")
 def fisher_tests(t: Tables) -> DataFrame:
     hit = lambda c, v: F.count_if((F.col("condition") == c) & (F.col("verdict") == v))
     g = V.records(t).filter("kind = 'citation'").groupBy("model").agg(
         hit("baseline", "exists").alias("a"), hit("baseline", "not_found").alias("b"),
         hit("combo", "exists").alias("c"), hit("combo", "not_found").alias("d"),
     )
-    return g.withColumn("p", O.fisher_p("a", "b", "c", "d"))
+    return g.withColumn("p", F.round(O.fisher_p("a", "b", "c", "d"), 9))
 
 
 @query("I10 X2")

@@ -42,7 +42,7 @@ def _runner(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
 
 def load() -> dict[str, Entry]:
     from plumbline.plans import (  # noqa: F401
-        cells, claims, episodes, feedback, inference, overlaps, pages, reporters, resolution, search, state, texts,
+        cells, claims, episodes, feedback, files, inference, overlaps, pages, reporters, resolution, search, state, texts,
     )
 
     return ENTRIES
