@@ -73,6 +73,8 @@ class Transducer:
         self.agree: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # words that stand behind a space, without their mark
+        self.older_words: dict[str, bytes] = {}
 
     def _text(self, k: int) -> str:
         """The characters an arc has read: a piece's, or the one that falls back to bytes."""
@@ -164,21 +166,29 @@ class Transducer:
                 self.known[part] = ids
         return ids
 
+    def _word(self, word: str) -> bytes:
+        ids = self.older_words.get(word)
+        if ids is None:
+            ids = self._compose(MARK + word)
+        if len(word) < LONG:
+            self.words[word] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         """int32 ids of a text."""
         if not text:
             return b""
         if len(self.known) > CACHE:
             self.older, self.known = self.known, {}
+        if len(self.words) > CACHE:
+            self.older_words, self.words = self.words, {}
         if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-            parts = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", (MARK + text.replace(" ", MARK)))
-        else:
-            parts = [MARK + p for p in text.split(" ")]
-        get, part = self.known.get, self._part
-        return b"".join([get(p) or part(p) for p in parts])
+            return b"".join(map(self._part, re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", (MARK + text.replace(" ", MARK)))))
+        get, word = self.words.get, self._word
+        return b"".join([get(p) or word(p) for p in text.split(" ")])
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join([self.output[k] for k in ids.tolist()]).decode("utf-8", "replace")
+        text = b"".join(map(self.output.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
