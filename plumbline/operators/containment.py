@@ -6,7 +6,8 @@ produce; fragments meet texts on equal anchors and each meeting is verified
 with a plain substring test. Anchor kinds by number of words in the fragment:
 
 * five or more: the longest three-word run that leaves out the first and last word; where fragments
-  are too many to be broadcast, the run that the fewest texts of a sample hold
+  are too many to be broadcast, a six-word run if there are eight words or more, and in place of a run that is
+  common in a sample of the texts the one that the fewest of them hold
 * three or four: the longest inner word
 * two: the last seven letters of the first word, or the first seven of the second,
   whichever word is longer
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import let
-from plumbline.operators.skew import salted_join
+from plumbline.operators.skew import LOOK_AT, salted_join
 from plumbline.session import stage, union_all
 
 # Fragments up to this many bytes, keys included, are broadcast; beyond it the
@@ -34,32 +35,42 @@ GAPLESS_GRAM = 8
 SAMPLE_TEXTS = 20_000
 COMMON_RUNS = 10_000
 
-RUN, INNER, AFFIXES, LONG, BARE = "run", "inner", "affix", "long", "bare"
+RUN, INNER, AFFIXES, LONG, BARE, STRETCH = "run", "inner", "affix", "long", "bare", "stretch"
+WORDS = {RUN: 3, STRETCH: 6}
+# A bit map of the fragments' anchors goes to the texts, which send on only keys that it holds: bits an anchor, and the most bits (8 MB).
+ANCHOR_BITS = 16
+MOST_BITS = 1 << 26
 
 
 def _word(w: Column, i) -> Column:
     return F.get(w, i if isinstance(i, Column) else F.lit(i))
 
 
-def _run_hash(w: Column, i: Column) -> Column:
-    return F.xxhash64(F.lit(RUN), _word(w, i), _word(w, i + 1), _word(w, i + 2))
+def _run_hash(w: Column, i: Column, kind: str = RUN) -> Column:
+    return F.xxhash64(F.lit(kind), *[_word(w, i + k) for k in range(WORDS[kind])])
+
+
+def _letters(w: Column, i: Column, kind: str = RUN) -> Column:
+    lengths = [F.length(_word(w, i + k)) for k in range(WORDS[kind])]
+    return sum(lengths[1:], lengths[0])
 
 
 def _tagged(tag: str, value: Column) -> Column:
     return F.xxhash64(F.lit(tag), value)
 
 
-def _anchor_of(w: Column) -> Column:
+def _inner_runs(w: Column, kind: str) -> Column:
+    """The runs a fragment may be anchored at: all that leave out its first and last word."""
+    return F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 1 - WORDS[kind])),
+        lambda i: F.struct((-_letters(w, i, kind)).alias("k"), _run_hash(w, i, kind).alias("h")),
+    )
+
+
+def _anchor_of(w: Column, stretches: bool = False) -> Column:
     """struct(kind, anchor) of the words of a fragment."""
     n = F.size(w)
     first, second = _word(w, 0), _word(w, 1)
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), n - 4)),
-        lambda i: F.struct(
-            (-(F.length(_word(w, i)) + F.length(_word(w, i + 1)) + F.length(_word(w, i + 2)))).alias("k"),
-            _run_hash(w, i).alias("h"),
-        ),
-    )
     inner = F.transform(
         F.slice(w, F.lit(2), F.greatest(F.lit(0), n - 2)),
         lambda x: F.struct((-F.length(x)).alias("k"), x.alias("w")),
@@ -68,8 +79,10 @@ def _anchor_of(w: Column) -> Column:
         _tagged("head", F.left(second, F.lit(AFFIX)))
     )
     made = lambda kind, anchor: F.struct(F.lit(kind).alias("kind"), anchor.alias("anchor"))
+    longer = WORDS[STRETCH] + 2 if stretches else None
     return (
-        F.when(n >= 5, made(RUN, F.array_min(runs)["h"]))
+        F.when(n >= longer if stretches else F.lit(False), made(STRETCH, F.array_min(_inner_runs(w, STRETCH))["h"]))
+        .when(n >= 5, made(RUN, F.array_min(_inner_runs(w, RUN))["h"]))
         .when(n >= 3, made(INNER, _tagged("word", F.array_min(inner)["w"])))
         .when((n == 2) & (F.greatest(F.length(first), F.length(second)) >= AFFIX), made(AFFIXES, affix))
         .when((n == 1) & (F.length(first) >= GRAM), made(LONG, _tagged("gram", F.left(first, F.lit(GRAM)))))
@@ -77,37 +90,36 @@ def _anchor_of(w: Column) -> Column:
     )
 
 
-def with_anchor(frags: DataFrame, frag: str) -> DataFrame:
-    """Add ``_kind`` and ``_anchor`` to fragments."""
+def with_anchor(frags: DataFrame, frag: str, stretches: bool = False) -> DataFrame:
+    """Add ``_kind`` and ``_anchor`` to fragments; with ``stretches`` those of eight words or more have six-word runs."""
     # as a generated column the anchor is computed once; later filters stay above it
-    made = frags.withColumn("_a", F.explode(F.array(let(F.split(frag, " "), _anchor_of))))
+    made = frags.withColumn("_a", F.explode(F.array(let(F.split(frag, " "), lambda w: _anchor_of(w, stretches)))))
     return made.withColumn("_kind", F.col("_a.kind")).withColumn("_anchor", F.col("_a.anchor")).drop("_a")
 
 
-def _runs(w: Column) -> Column:
-    """The runs a fragment of five words or more may be anchored at."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 4)),
-        lambda i: F.struct((F.length(_word(w, i)) + F.length(_word(w, i + 1)) + F.length(_word(w, i + 2))).alias("letters"), _run_hash(w, i).alias("h")),
-    )
-
-
-def common_runs(docs: DataFrame, doc_id: str, text: str, sample: int = SAMPLE_TEXTS, most: int = COMMON_RUNS) -> DataFrame:
+def common_runs(
+    docs: DataFrame, doc_id: str, text: str, sample: int = SAMPLE_TEXTS, most: int = COMMON_RUNS, kinds: frozenset[str] = frozenset({RUN})
+) -> DataFrame:
     """(h, texts): the runs that most of the sampled texts hold, at most ``most`` of them."""
     step = max(1, docs.count() // sample)
     looked = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(step)) == 0)  # a filter on the id goes below the normalisation
-    counted = looked.select(F.explode(_text_keys(F.col(text), {RUN})).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("texts"))
+    counted = looked.select(F.explode(_text_keys(F.col(text), set(kinds))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("texts"))
     return stage(counted.where("texts > 1").orderBy(F.desc("texts"), "h").limit(most))
 
 
-def rarest_anchor(anchored: DataFrame, common: DataFrame, frag_id: str, frag: str) -> DataFrame:
-    """Fragments of five words or more at the run that the fewest texts hold, the longest of equals."""
-    long = anchored.where(F.col("_kind") == RUN)
-    each = long.select(frag_id, frag, F.explode(let(F.split(frag, " "), _runs)).alias("r")).select(frag_id, frag, F.col("r.letters").alias("letters"), F.col("r.h").alias("h"))
-    known = each.join(F.broadcast(common), "h", "left")  # COMMON_RUNS rows at most
-    best = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), (-F.col("letters")).alias("k"), "h"))["h"]
-    chosen = known.groupBy(frag_id, frag).agg(best.alias("_anchor")).withColumn("_kind", F.lit(RUN))
-    return anchored.where(F.col("_kind") != RUN).unionByName(chosen)
+def rarest_anchor(anchored: DataFrame, common: DataFrame, frag_id: str, frag: str, kind: str = RUN) -> DataFrame:
+    """Fragments whose run is a common one at the run that the fewest texts hold, the longest of equals.
+
+    Only they are taken apart into their runs: the others stay rows of their own and are not shuffled.
+    """
+    common = F.broadcast(common)  # COMMON_RUNS rows at most
+    marked = anchored.join(common.select(F.col("h").alias("_anchor"), F.lit(True).alias("_common")), "_anchor", "left")
+    again = F.col("_common").isNotNull() & (F.col("_kind") == kind)
+    each = marked.where(again).select(frag_id, frag, F.explode(let(F.split(frag, " "), lambda w: _inner_runs(w, kind))).alias("r"))
+    known = each.select(frag_id, frag, F.col("r.k").alias("k"), F.col("r.h").alias("h")).join(common, "h", "left")
+    best = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "k", "h"))["h"]
+    chosen = known.groupBy(frag_id, frag).agg(best.alias("_anchor")).withColumn("_kind", F.lit(kind))
+    return marked.where(~again).select(anchored.columns).unionByName(chosen.select(anchored.columns))
 
 
 def _nested(docs: DataFrame, frags: DataFrame, size: int, limit: int, text: str, frag: str) -> DataFrame:
@@ -117,14 +129,19 @@ def _nested(docs: DataFrame, frags: DataFrame, size: int, limit: int, text: str,
     return union_all([docs.join(F.broadcast(frags.where(part == b)), F.contains(F.col(text), F.col(frag))) for b in range(blocks)])
 
 
+def _all_runs(w: Column, kind: str) -> Column:
+    last = F.greatest(F.lit(0), F.size(w) - WORDS[kind])
+    return F.transform(F.sequence(F.lit(0), last), lambda i: _run_hash(w, i, kind))
+
+
 def _text_keys(text: Column, kinds: set[str]) -> Column:
     """Every anchor of the wanted kinds that a text produces, without repeats."""
 
     def keys(w: Column) -> Column:
         parts = []
-        if RUN in kinds:
-            last = F.greatest(F.lit(0), F.size(w) - 3)
-            parts.append(F.transform(F.sequence(F.lit(0), last), lambda i: _run_hash(w, i)))
+        for kind in (RUN, STRETCH):
+            if kind in kinds:
+                parts.append(_all_runs(w, kind))
         if INNER in kinds:
             parts.append(F.transform(w, lambda x: _tagged("word", x)))
         if AFFIXES in kinds:
@@ -152,11 +169,40 @@ def _meet(anchors: DataFrame, docs: DataFrame, doc_id: str, text: str, keys: Col
         keyed = docs.select(doc_id, text, keys.alias("_keys"))
         exploded = keyed.select(doc_id, text, F.explode_outer("_keys").alias("_anchor"))
         return exploded.join(F.broadcast(anchors), "_anchor")
-    keyed = docs.select(doc_id, keys.alias("_keys"))
-    pairs = salted_join(keyed.select(doc_id, F.explode_outer("_keys").alias("_anchor")), anchors, ["_anchor"], [doc_id], "inner")
+    anchors = stage(anchors)
+    size = anchors.count()
+    held = _holds(_bit_map(anchors, size), size)
+
+    def meeting(texts: DataFrame) -> DataFrame:
+        keyed = texts.select(doc_id, keys.alias("_keys"))
+        return keyed.select(doc_id, F.explode_outer("_keys").alias("_anchor")).where(held)
+
+    # hot keys are looked for in a share of the texts, chosen by the id, so that the others are not normalised for that
+    share = meeting(docs.where(F.pmod(F.xxhash64(doc_id), F.lit(int(1 / LOOK_AT))) == 0))
+    pairs = salted_join(meeting(docs), anchors, ["_anchor"], [doc_id], "inner", count_on=share, drawn=True)
     return pairs.join(docs.select(doc_id, text), doc_id)
 
 
+def _bits_of(size: int) -> int:
+    """Bits of the map of so many anchors: a power of two, bounded; a fuller map lets more keys pass, and the result stays the same."""
+    return min(MOST_BITS, max(1 << 12, 1 << (ANCHOR_BITS * max(1, size) - 1).bit_length()))
+
+
+def _bit_map(anchors: DataFrame, size: int) -> Column:
+    """The places of the anchors as an array of 64-bit words, at most ``MOST_BITS`` / 8 bytes."""
+    bits = _bits_of(size)
+    place = F.pmod("_anchor", F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = anchors.select(F.floor(place / 64).cast("long").alias("id"), one.alias("word")).groupBy("id").agg(F.bit_or("word").alias("word"))
+    every = anchors.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
+    return stage(every.agg(F.sort_array(F.collect_list(F.struct("id", "word")))["word"].alias("words"))).scalar()
+
+
+def _holds(words: Column, size: int) -> Column:
+    place = F.pmod("_anchor", F.lit(_bits_of(size)))
+    return F.getbit(F.get(words, F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1
+
+
 def _bytes(frag: str) -> Column:
     """Size of a set of fragments: the text, an identifier that may repeat it, and the row."""
     return F.sum(2 * F.octet_length(frag) + ROW_BYTES)
@@ -193,7 +239,10 @@ def contained(
         many = sum(n for kind, n in sizes.items() if kind != BARE)
         strategy = _strategy(many, limit)
         if RUN in keyed and strategy == "shuffle":
-            anchored = rarest_anchor(anchored, common_runs(docs, doc_id, text), frag_id, frag)
+            anchored = stage(with_anchor(frags.select(frag_id, frag).filter(F.length(frag) > 0), frag, stretches=True))
+            keyed = {r[0] for r in anchored.select("_kind").distinct().collect()} - {BARE}  # at most six rows
+            for kind in sorted(keyed & set(WORDS)):
+                anchored = rarest_anchor(anchored, common_runs(docs, doc_id, text, kinds=frozenset({kind})), frag_id, frag, kind)
         anchors = anchored.filter(F.col("_anchor").isNotNull()).drop("_kind").select(frag_id, frag, "_anchor")
         found.append(_meet(anchors, docs, doc_id, text, _text_keys(F.col(text), keyed), strategy))
     if BARE in sizes or not found:

@@ -96,3 +96,21 @@ def test_short_fragments_in_blocks(spark):
     frags = spark.createDataFrame([(i, f"b{i}") for i in range(20)], "fid long, frag string")
     parts = J._nested(docs, frags, 20, 4, "text", "frag").select("fid", "did").collect()
     assert len(parts) == len(set(parts)) and {(r.fid, r.did) for r in parts} == {(i, j) for i in range(20) for j in range(20) if f"b{i}" in f"text{j} b{j}"}
+
+
+def test_texts_send_on_only_keys_that_some_fragment_may_have(spark):
+    """Of 200 texts of 50 words one holds the fragment: the keys of the others stay where they are."""
+    from plumbline.operators import containment as J
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(200)], "did long, text string")
+    frags = spark.createDataFrame([(1, " ".join(f"w7x{k}" for k in range(10, 20)))], "fid long, frag string")
+    anchors = J.with_anchor(frags, "frag", stretches=True)
+    assert anchors.first()._kind == J.STRETCH and J.with_anchor(frags, "frag").first()._kind == J.RUN
+    held = J._holds(J._bit_map(anchors, 1), 1)
+    keys = docs.select("did", F.explode(J._text_keys(F.col("text"), {J.STRETCH})).alias("_anchor"))
+    assert keys.count() == 200 * 45
+    kept = keys.where(held)
+    assert kept.count() < 45 and 7 in {r.did for r in kept.collect()}
+    assert J._bits_of(1) == 4096 and J._bits_of(10_000) == 1 << 18 and J._bits_of(10**9) == J.MOST_BITS
+    pairs = J.contained(frags, docs, frag_id="fid", frag="frag", doc_id="did", text="text", limit=0).collect()
+    assert [(r.fid, r.did) for r in pairs] == [(1, 7)]
