@@ -87,17 +87,20 @@ def cosine(a, b) -> Column:
 
 def best_window(words, terms, width: int, step: int, marks: str = EDGE_MARKS) -> Column:
     """struct(score, at) of the first best window: most words whose bare form is a wanted term."""
-    edge = "[" + "".join("\\" + c if c in "()" else c for c in marks) + "]+"
-    flags = F.transform(
-        words, lambda w: F.array_contains(terms, F.regexp_replace(F.lower(w), f"^{edge}|{edge}$", "")).cast("int")
+    # a letter a word, so that a window is a substring and its score the number of ones in it; the terms are
+    # bound, since the optimizer may put what they are made of in place of the column, for every word again
+    bare = lambda w: F.trim(F.lower(w), F.lit(marks))
+    flags = X.let(
+        terms if isinstance(terms, Column) else F.col(terms),
+        lambda ts: F.array_join(F.transform(words, lambda w: F.when(F.array_contains(ts, bare(w)), "1").otherwise("0")), ""),
     )
 
     def best(f: Column) -> Column:
         def score(start: Column) -> Column:
-            inside = F.aggregate(F.slice(f, start + 1, F.lit(width)), F.lit(0), lambda s, x: s + x)
+            inside = F.length(F.replace(f.substr(start + 1, F.lit(width)), F.lit("0"), F.lit("")))
             return F.struct((-inside).alias("k"), start.alias("at"))
 
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(f) - width), F.lit(step))
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(f) - width), F.lit(step))
         return F.array_min(F.transform(starts, score))
 
     return X.let(X.let(flags, best), lambda b: F.struct((-b["k"]).alias("score"), b["at"].alias("at")))

@@ -250,7 +250,7 @@ WITH {V.DOC_QUOTES}, q AS (SELECT doc_id, quote, {V._W} AS w FROM doc_quotes)
 SELECT doc_id, x.at AS at, x.score AS score, md5(array_to_string(w[x.at + 1: x.at + 45], ' ')) AS passage_md5 FROM
   (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY x.score DESC, x.at) AS rn FROM s) WHERE rn = 1""")
 def closest_passages(t: Tables) -> DataFrame:
-    q = V.doc_quotes(t).select("doc_id", X.words("text").alias("w"), Q.quote_terms("quote").alias("terms"))
+    q = V.doc_quotes(t).select("doc_id", "w", Q.quote_terms("quote").alias("terms"))
     b = q.withColumn("b", Q.best_window("w", "terms", Q.PASSAGE, Q.PASSAGE_STEP, Q.QUOTE_EDGE_MARKS))
     return b.select(
         "doc_id", F.col("b.at").cast("long").alias("at"), F.col("b.score").cast("long").alias("score"),
@@ -270,7 +270,7 @@ def best_excerpt_windows(t: Tables) -> DataFrame:
             lambda x: (F.length(x) > 3) & ~x.isin(Q.QUERY_STOP),
         )
     )
-    q = V.doc_quotes(t).select("doc_id", X.words("text").alias("w"), terms.alias("terms"))
+    q = V.doc_quotes(t).select("doc_id", "w", terms.alias("terms"))
     b = q.select("doc_id", Q.best_window("w", "terms", Q.WINDOW, Q.STEP).alias("b"))
     return b.select("doc_id", F.col("b.at").cast("long").alias("at"), F.col("b.score").cast("long").alias("score"))
 
