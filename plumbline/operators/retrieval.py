@@ -126,16 +126,25 @@ def proportional_window(text, text_norm, quote, width: int) -> Column:
     return F.when(at >= 0, text.substr(lo + 1, there + width // 2 - lo))
 
 
+def longest_common_run(a: str, b: str) -> tuple[int, int, int]:
+    """(place in a, place in b, length) of the longest run of both; the first in a, then the first in b, of equals."""
+    at = size = 0
+    for i in range(len(a)):
+        while i + size < len(a) and a[i : i + size + 1] in b:  # a run that is not there has no longer one
+            at, size = i, size + 1
+    return at, b.find(a[at : at + size]), size
+
+
 @F.pandas_udf(T.StructType().add("window", T.StringType()).add("ratio", T.DoubleType()))
 def closest_region(fragment: pd.Series, text: pd.Series) -> pd.DataFrame:
     """Window of a text around the longest run it shares with a fragment, and the similarity ratio."""
     out = []
     for frag, body in zip(fragment, text):
-        run = difflib.SequenceMatcher(None, frag, body, autojunk=False).find_longest_match()
-        if run.size < 10:
+        a, b, size = longest_common_run(frag, body)
+        if size < 10:
             out.append((None, 0.0))
             continue
-        lo = max(0, run.b - run.a - 40)
+        lo = max(0, b - a - 40)
         window = body[lo : lo + len(frag) + 80]
         out.append((window, round(difflib.SequenceMatcher(None, frag, window).ratio(), 3)))
     return pd.DataFrame(out, columns=["window", "ratio"])

@@ -286,7 +286,9 @@ def opinion_windows(t: Tables) -> DataFrame:
 
 @query("")
 def closest_regions_of_failed_quotes(t: Tables) -> DataFrame:
-    q = V.doc_quotes(t).select("doc_id", "form", X.longest_fragment("quote", "literal").alias("f"), X.normalize("text").alias("n"))
+    # as a generated column the two are made once; the filter stays above it
+    both = F.struct(X.longest_fragment("quote", "literal").alias("f"), X.normalize("text").alias("n"))
+    q = V.doc_quotes(t).select("doc_id", "form", F.explode(F.array(both)).alias("x")).select("doc_id", "form", "x.f", "x.n")
     failed = q.filter(~F.contains(F.col("n"), F.col("f")))
     r = failed.withColumn("r", Q.closest_region("f", "n"))
     return r.select("doc_id", "form", F.col("r.ratio").alias("ratio"), F.col("r.window").alias("window"))
