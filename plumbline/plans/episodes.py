@@ -13,7 +13,7 @@ from plumbline.operators import verdicts as D
 from plumbline.operators.skew import salted_join
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
-from plumbline.session import Tables
+from plumbline.session import Tables, stage
 
 _ARM = "CASE conv_id % 6 WHEN 0 THEN 'true' WHEN 1 THEN 'scrambled' WHEN 2 THEN 'none' WHEN 3 THEN 'half' WHEN 4 THEN 'quarter' ELSE 'threequarter' END"
 # long words stand for citations; those with an odd number of letters do not resolve
@@ -181,15 +181,20 @@ def feedback_arms(t: Tables) -> DataFrame:
     from plumbline.operators import retrieval as Q
     from plumbline.operators import sampling as S
 
-    q = V.doc_quotes(t).select("doc_id", "source", "text", "quote", X.fragments("quote", "strict").alias("fr"), X.normalize("text").alias("n"))
-    q = q.withColumn("ns", X.nospace("n"))
-    v = q.withColumn("verdict", D.quote_verdict("fr", "n", "ns", paired=F.lit(True), has_text=F.lit(True), allow_omission=False))
+    q = V.doc_quotes(t).select("doc_id", "source", "quote", "w", X.fragments("quote", "strict").alias("fr"), X.normalize("text").alias("n"))
+    verdict = D.quote_verdict("fr", "n", X.nospace("n"), paired=F.lit(True), has_text=F.lit(True), allow_omission=False)
+    v = q.select("doc_id", "source", "quote", "w", F.explode(F.array(verdict)).alias("verdict"))
+    failed = F.col("verdict").isin("inaccurate", "near_miss")
+    passage = X.let(
+        Q.best_window(F.col("w"), Q.quote_terms("quote"), Q.PASSAGE, Q.PASSAGE_STEP, Q.QUOTE_EDGE_MARKS), lambda b: Q.window_text("w", b["at"], Q.PASSAGE)
+    )
+    # both branches read the quotations with their verdicts and passages, not the texts
+    v = stage(v.select("doc_id", "source", "quote", "verdict", F.when(failed, passage).alias("passage")).filter(failed | (F.col("verdict") == "accurate")))
     ok = v.filter("verdict = 'accurate'").groupBy("source").agg(F.min_by("quote", S.draw_key(3, "doc_id")).alias("ok_quote"))
-    bad = v.filter("verdict IN ('inaccurate', 'near_miss')").select("doc_id", "source", "quote", X.words("text").alias("w"), Q.quote_terms("quote").alias("terms"))
-    best = bad.withColumn("b", Q.best_window("w", "terms", Q.PASSAGE, Q.PASSAGE_STEP, Q.QUOTE_EDGE_MARKS))
+    best = v.filter(failed)
     lines = best.join(ok, "source", "left").select(
         "doc_id", O.quote_line("quote", "source").alias("true_line"),
-        O.quote_line("quote", "source", Q.window_text("w", F.col("b.at"), Q.PASSAGE)).alias("passage_line"),
+        O.quote_line("quote", "source", F.col("passage")).alias("passage_line"),
         F.when(F.col("ok_quote").isNotNull(), O.quote_line("ok_quote", "source")).alias("scrambled_line"), S.uniform(4, "doc_id").alias("u"),
     )
     mixed = lambda p: F.when(F.col("u") < p, F.col("true_line")).otherwise(F.coalesce("scrambled_line", "true_line"))
