@@ -46,7 +46,7 @@ def _n_words(text) -> Column:
 def packet(text, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> Column:
     """The paragraphs ahead of the analysis, scrubbed, within the word budget; null when unusable."""
     lines = F.filter(
-        F.transform(F.split(text, "\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != ""
+        F.transform(F.split(text, "\n"), lambda p: F.trim(p, F.lit(X.WHITESPACE))), lambda p: p != ""
     )
     body = F.filter(lines, lambda p: ~p.rlike(HEADER) & ~p.rlike(JUDGE_LINE))
 
