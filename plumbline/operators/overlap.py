@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.skew import salted_join
+from plumbline.operators.skew import SMALL_ROWS, salted_join
 from plumbline.session import stage
 
 # Rows of the right side that one (key, token) group may hold before it is dealt over sub-groups.
@@ -27,6 +27,18 @@ def by_rarity(entries: DataFrame, frequency: DataFrame, keys: list[str], row_id:
     return sets.withColumn("token", F.explode(prefix))
 
 
+def asked_for(entries: DataFrame, asking: DataFrame, keys: list[str]) -> DataFrame:
+    """Entries whose token some row of the other side holds under the same keys: no other can be shared.
+
+    Where that side has few tokens, what none of its rows holds is left out before anything is shuffled.
+    """
+    wanted = stage(asking.select(*keys, "token").distinct())
+    few = wanted.select("token").distinct()
+    if keys and few.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        entries = entries.join(F.broadcast(few), "token", "left_semi")
+    return entries.join(wanted, [*keys, "token"], "left_semi")
+
+
 def overlap_pairs(
     left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, on: Sequence[str] = (), least: int = 1, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
@@ -39,7 +51,8 @@ def overlap_pairs(
     """
     keys = list(on)
     a = left.select(*keys, F.col(left_id).alias("_l"), F.explode(tokens).alias("token")).dropna(subset=["token", *keys])
-    b = stage(right.select(*keys, F.col(right_id).alias("_r"), F.explode(tokens).alias("token")).dropna(subset=["token", *keys]).distinct())
+    b = right.select(*keys, F.col(right_id).alias("_r"), F.explode(tokens).alias("token")).dropna(subset=["token", *keys])
+    b = stage(asked_for(b, a, keys).distinct())
     frequency = stage(b.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n")))
     lists: Column = F.ceil(F.col("n") / group_rows).cast("int")
     dealt = frequency.where(F.col("n") > group_rows).select(*keys, "token", lists.alias("_lists"))  # at most rows / group_rows tokens

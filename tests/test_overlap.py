@@ -31,3 +31,12 @@ def test_pairs_equal_brute_force(spark, least, on):
 def test_empty_sides(spark):
     none = rows(spark, [], "a")
     assert overlap_pairs(none, rows(spark, [(1, 1, ["x"])], "b"), "a", "b", "w").collect() == []
+
+
+def test_tokens_that_the_other_side_lacks_are_left_out(spark):
+    from plumbline.operators.overlap import asked_for
+
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, token string")
+    b = spark.createDataFrame([(1, 10, "x"), (1, 11, "y"), (2, 12, "y"), (2, 13, "z"), (3, 14, "x")], "k int, _r int, token string")
+    assert sorted((r.k, r._r, r.token) for r in asked_for(b, a, ["k"]).collect()) == [(1, 10, "x"), (2, 12, "y")]
+    assert sorted(r._r for r in asked_for(b.drop("k"), a.drop("k"), []).collect()) == [10, 11, 12, 14]
