@@ -31,7 +31,9 @@ DIMENSIONS = 512
 def term_counts(docs: DataFrame, doc_id: str, text: str, stop: list[str]) -> DataFrame:
     """(doc_id, term, tf) over lower-case words of two letters or more, stop words left out."""
     terms = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    rows = docs.select(doc_id, F.explode(terms).alias("term")).filter(~F.col("term").isin(stop))
+    # the texts are dealt by their number before they are taken apart: a word a row weighs many times its text
+    dealt = docs.select(doc_id, text).repartition(doc_id)
+    rows = dealt.select(doc_id, F.explode(terms).alias("term")).filter(~F.col("term").isin(stop))
     return rows.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -67,3 +67,18 @@ def test_low_texts_are_passed_over():
     p.meet(0, np.array([1, 0]), np.array([0.3, 0.9]), None, tops)
     assert seen[0] == [0]  # the heavy term alone can lift a text into the list
     assert tops.rows([0]).num_rows == 10
+
+
+def test_words_are_counted_where_their_text_is(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from plumbline.operators.retrieval import term_counts
+
+    docs = spark.createDataFrame([(1, "tax law tax"), (2, "law"), (1, "tax")], "doc long, text string")
+    counts = term_counts(docs, "doc", "text", ["of"])
+    out = io.StringIO()
+    with redirect_stdout(out):
+        counts.explain()
+    assert "hashpartitioning(doc" in out.getvalue() and "term#" not in "".join(x for x in out.getvalue().splitlines() if "hashpartitioning" in x)
+    assert sorted(map(tuple, counts.collect())) == [(1, "law", 1), (1, "tax", 3), (2, "law", 1)]
