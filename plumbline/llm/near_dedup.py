@@ -10,7 +10,8 @@ edit distance. Nodes with an equal sketch form a bucket.
 Buckets are resolved in rounds. First every member is compared with the bucket's center,
 the node with the most company. Then a sixteenth of the nodes, and at last all of them, are held
 against all members of another class: a bucket's members lie in blocks of about `block`
-nodes, and a row holds two blocks with a bit map of each node's k-mers. A bit of one
+nodes, and a row holds two blocks with a bit map of each node's k-mers; a bucket of more than `dealt`
+nodes is dealt over tasks by pairs of its parts. A bit of one
 map only is a k-mer of one text only, which bounds the similarity from above; texts are fetched
 for the pairs whose bound reaches the threshold. So at the end no two nodes of one
 bucket are in two classes without having been compared, and a class that fills blocks of its own is not held
@@ -40,6 +41,8 @@ from plumbline.llm.tables import split_small, stage
 
 NODE = "_plumbline_node"
 MAP_BITS = 2048
+#: Edges that a task joins in its memory.
+EDGES = 1 << 17
 
 
 def node_of(text):
@@ -99,14 +102,12 @@ def _sketch(k: int, sketches: int, picks: int):
 
 
 def buckets(docs: DataFrame, k: int, sketches: int, picks: int) -> DataFrame:
-    """node, fn, sketch and company (members of all the node's buckets) where a bucket has two nodes or more."""
+    """node, fn, sketch and size (rows of the bucket) where a bucket has two nodes or more."""
     rows = split_small(docs.select(node_of(F.col("text")).alias("node"), "text"))
     rows = stage(rows.mapInArrow(_sketch(k, sketches, picks), "node binary, fn short, sketch long"))
     key = ["fn", "sketch"]
     sizes = rows.groupBy(*key).agg(F.min(F.xxhash64("node")).alias("a"), F.max(F.xxhash64("node")).alias("b"), F.count("*").alias("size")).where("a < b").drop("a", "b")
-    shared = stage(rows.join(sizes, key).groupBy(*key, "node").agg(F.max("size").alias("size")))
-    company = shared.groupBy("node").agg(F.sum("size").alias("company"))
-    return stage(shared.join(company, "node").select("node", *key, "company"))
+    return stage(rows.join(sizes, key).groupBy(*key, "node").agg(F.max("size").alias("size")))
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -174,23 +175,56 @@ def _verify(k: int, similar: float):
     return run
 
 
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of the same components, each from a node to the least that `EDGES` edges in a row, or some more, join it to."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, root(x)) for x in list(parent)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in ([a for a, b in pairs if a != b], [b for a, b in pairs if a != b])], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        if len(parent) > 2 * EDGES:
+            yield stars()
+            parent.clear()
+    if parent:
+        yield stars()
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a lesser node, which has none."""
+    ends = edges.select(F.col("a").alias("node"), "b").unionByName(edges.select(F.col("b").alias("node"), F.lit(None).cast("binary").alias("b")))
+    ends = ends.groupBy("node").agg(F.min("b").alias("x"), F.max("b").alias("y"), F.bool_or(F.col("b").isNull()).alias("root"))
+    return ends.where("x != y or x is not null and root").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node and class (least node) of every node of the edges (a, b): large-star and small-star rounds to a fixed point."""
-    edges = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    mark = None
-    while True:
+    """node and class (the component's least node) of every other node of the edges (a, b).
+
+    Tasks join what meets in them, `EDGES` edges each; where that takes more tasks than one, large-star and small-star
+    rounds follow until nothing is left to join.
+    """
+    joined = lambda rows: stage(rows.mapInArrow(_forests, "a binary, b binary"))
+    edges = joined(edges.select("a", "b").where("a != b"))
+    tasks = -(-edges.count() // EDGES)
+    if tasks <= 1:
+        return joined(edges.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("class"))
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = stage(small.where("a != b").distinct())
-        new = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if new == mark:
-            break
-        mark = new
-    roots = edges.select("b").distinct()
-    return stage(edges.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("class"))))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(least.select("a", F.col("m").alias("b")))
+        edges = joined(small)
+    return stage(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("class")))
 
 
 def _marks(k: int):
@@ -217,71 +251,84 @@ def may_be_similar(n_a: np.ndarray, bits_a: np.ndarray, n_b: np.ndarray, bits_b:
 
 
 def _candidates(similar: float):
-    def side(nodes):
-        bits = np.frombuffer(b"".join(x["bits"] for x in nodes), np.uint64).reshape(len(nodes), -1)
-        return [x["node"] for x in nodes], np.array([x["class"] for x in nodes], object), np.array([x["n"] for x in nodes]), bits
+    def side(blocks: pa.ListArray):
+        rows, cuts = blocks.flatten(), blocks.offsets.to_numpy()
+        bits = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint64).reshape(len(rows), -1)
+        return cuts - cuts[0], rows.field("class"), rows.field("node").to_pylist(), rows.field("n").to_numpy(), bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: tuple[list, list] = ([], [])
-            for one, two in zip(batch.column("one"), batch.column("two")):
-                (a, class_a, n_a, bits_a), (b, class_b, n_b, bits_b) = side(one.as_py()), side(two.as_py())
-                hit = may_be_similar(n_a, bits_a, n_b, bits_b, similar) & (class_a[:, None] != class_b[None])
-                for i, j in zip(*np.nonzero(hit)):
-                    found[0].append(max(a[i], b[j]))
-                    found[1].append(min(a[i], b[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in found], ["a", "b"])
+            (cuts_a, class_a, *one), (cuts_b, class_b, *two) = side(batch.column("one")), side(batch.column("two"))
+            code = pa.concat_arrays([class_a, class_b]).dictionary_encode().indices.to_numpy()
+            code_a, code_b, found = code[: len(class_a)], code[len(class_a) :], set()
+            for r in range(batch.num_rows):
+                x, y = slice(*cuts_a[r : r + 2]), slice(*cuts_b[r : r + 2])
+                (a, n_a, bits_a), (b, n_b, bits_b) = (v[x] for v in one), (v[y] for v in two)
+                hit = may_be_similar(n_a, bits_a, n_b, bits_b, similar) & (code_a[x, None] != code_b[None, y])
+                found.update((max(a[i], b[j]), min(a[i], b[j])) for i, j in zip(*np.nonzero(hit)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def classes(docs: DataFrame, k: int = 5, similar: float = 0.8, sketches: int = 20, picks: int = 4, block: int = 64) -> DataFrame:
-    """node and class of every node that is similar to another."""
+def classes(docs: DataFrame, k: int = 5, similar: float = 0.8, sketches: int = 20, picks: int = 4, block: int = 64, dealt: int = 4096) -> DataFrame:
+    """node and class of every node that is similar to another; the node that names its class may be left out."""
     key = ["fn", "sketch"]
     left = buckets(docs, k, sketches, picks)
     members = left.select("node").distinct()
     texts = docs.select(node_of(F.col("text")).alias("node"), "text").join(members, "node").groupBy("node").agg(F.first("text").alias("text"))
     texts = stage(texts)
     marks = stage(texts.mapInArrow(_marks(k), "node binary, n int, bits binary"))
-    found = components(_links(left, left.select("node", F.col("node").alias("class")).distinct(), key, texts, k, similar))
+    found = components(_links(left, key, texts, k, similar))
     for part in (16, 1):
-        links = _rest(left, found, key, texts, marks, k, similar, block, part)
-        found = components(links.unionByName(found.select(F.col("node").alias("a"), F.col("class").alias("b"))))
+        links = _rest(left, found, key, texts, marks, k, similar, block, dealt, part)
+        if not links.isEmpty():
+            found = components(links.unionByName(found.select(F.col("node").alias("a"), F.col("class").alias("b"))))
     return found
 
 
-def _rest(members: DataFrame, classed: DataFrame, key: list[str], texts: DataFrame, marks: DataFrame, k: int, similar: float, block: int, part: int) -> DataFrame:
+def _rest(members: DataFrame, classed: DataFrame, key: list[str], texts: DataFrame, marks: DataFrame, k: int, similar: float, block: int, dealt: int, part: int) -> DataFrame:
     """The similar pairs (a, b) of two classes' members in one bucket, a or b of every `part`-th node."""
     members = members.select("node", *key).join(classed, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    members = stage(members.join(marks, "node"))
     # only buckets with two classes; a class that fills a block has blocks of its own
-    members = stage(members)
-    sizes = members.groupBy(*key, "class").agg(F.count("*").alias("size"))
-    own = sizes.withColumn("group", F.when(F.col("size") >= block, F.col("class")).otherwise(F.unhex(F.lit(""))))
-    groups = own.groupBy(*key, "group").agg(F.sum("size").alias("size"))
-    several = sizes.groupBy(*key).agg(F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    named = own.drop("size").join(several, key).join(groups, [*key, "group"])
-    held = stage(members.join(named, [*key, "class"]).join(marks, "node").withColumn("h", F.xxhash64("node")))
-    blocks = lambda rows, of: rows.withColumn("no", F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / block))).groupBy(*key, "group", "no").agg(
-        F.collect_list(F.struct("node", "class", "n", "bits")).alias(of)
+    sizes = members.groupBy(*key, "class").agg(F.count("*").alias("size")).repartition(*key)
+    small = F.col("size") < block
+    wholes = sizes.groupBy(*key).agg(F.count("*").alias("classes"), F.sum("size").alias("total"), F.sum(F.when(small, F.col("size"))).alias("rest")).where("classes > 1")
+    named = sizes.join(wholes, key).select(
+        *key, "class", F.ceil(F.col("total") / dealt).alias("parts"),
+        F.when(small, F.unhex(F.lit(""))).otherwise(F.col("class")).alias("group"), F.when(small, F.col("rest")).otherwise(F.col("size")).alias("size"),
     )
-    ones, twos = blocks(held.where(F.pmod("h", F.lit(part)) == 0), "one"), blocks(held, "two")
-    both = ones.alias("l").join(twos.alias("r"), key).where("l.group != r.group or l.group = unhex('')")
+    held = members.join(named, [*key, "class"]).withColumn("h", F.xxhash64("node")).withColumn("me", F.pmod(F.xxhash64("h", F.lit(1)), "parts"))
+    # (i, j): two parts of a bucket, which nearly always is one part
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    at = [*key, "i", "j"]
+    held = held.withColumns({"i": F.least("me", "other"), "j": F.greatest("me", "other")}).drop("other")
+
+    def blocks(rows: DataFrame, of: str, size: int) -> DataFrame:
+        rows = rows.withColumn("no", F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / F.col("parts") / size))).repartition(*at)
+        return rows.groupBy(*at, "me", "group", "no").agg(F.collect_list(F.struct("node", "class", "n", "bits")).alias(of))
+
+    ones, twos = blocks(held.where(F.pmod("h", F.lit(part)) == 0), "one", block * part), blocks(held, "two", block)
+    both = ones.alias("l").join(twos.alias("r"), at).where("l.group != r.group or l.group = unhex('')")
     if part == 1:
-        both = both.where("struct(l.group, l.no) <= struct(r.group, r.no)")
-    pairs = stage(both.select("one", "two").mapInArrow(_candidates(similar), "a binary, b binary")).distinct()
+        both = both.where("l.me < r.me or i = j and struct(l.group, l.no) <= struct(r.group, r.no)")
+    else:
+        both = both.where("l.me != r.me or i = j")
+    pairs = stage(both.select("one", "two").mapInArrow(_candidates(similar), "a binary, b binary"))
     return _similar_pairs(pairs, texts, k, similar)
 
 
-def _links(members: DataFrame, classed: DataFrame, key: list[str], texts: DataFrame, k: int, similar: float) -> DataFrame:
-    """The similar pairs (a, b) of a bucket's center and its members of another class."""
-    members = stage(members.join(classed, "node", "left").withColumn("class", F.coalesce("class", "node")))
-    centers = members.groupBy(*key).agg(F.max(F.struct("company", "node", "class")).alias("top"), F.min(F.xxhash64("class")).alias("x"), F.max(F.xxhash64("class")).alias("y"))
-    centers = stage(centers.where("x < y").select(*key, F.col("top.node").alias("a"), F.col("top.class").alias("class_a")))
-    pairs = members.join(centers, key).where("class != class_a").select("a", F.col("node").alias("b")).distinct()
+def _links(members: DataFrame, key: list[str], texts: DataFrame, k: int, similar: float) -> DataFrame:
+    """The similar pairs (a, b) of a bucket's center, whose buckets have the most members, and its other members."""
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    centers = members.join(company, "node").groupBy(*key).agg(F.max(F.struct("company", "node")).alias("top"))
+    pairs = members.join(centers.select(*key, F.col("top.node").alias("a")), key).where("node != a").select("a", F.col("node").alias("b"))
     return _similar_pairs(pairs, texts, k, similar)
 
 
 def _similar_pairs(pairs: DataFrame, texts: DataFrame, k: int, similar: float) -> DataFrame:
+    pairs = pairs.repartition("b").distinct()
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return stage(with_a.mapInArrow(_verify(k, similar), "a binary, b binary"))

@@ -229,3 +229,37 @@ def test_pipeline_stages(spark, folder):
             assert sorted(r.doc_id for r in rows.collect()) == sorted({c for _, c, _ in want})
         seen = rows
     assert sorted(str(r) for r in corpus_pipeline.run(spark, folder).collect()) == sorted(str(r) for r in seen.collect())
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    key = lambda k: zlib.crc32(str(k).encode()).to_bytes(4, "big") * 4
+    pairs = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(2000 + rng.randrange(300), 2000 + rng.randrange(300)) for _ in range(200)]
+    rng.shuffle(pairs)
+    edges = spark.createDataFrame([(key(a), key(b)) for a, b in pairs], "a binary, b binary").repartition(7)
+    want = {}
+    for a, b in pairs:
+        both = want.get(a, {a}) | want.get(b, {b})
+        want.update(dict.fromkeys(both, both))
+    want = sorted((key(x), min(map(key, group))) for x, group in want.items() if key(x) != min(map(key, group)))
+    for most in (N.EDGES, 100):
+        monkeypatch.setattr(N, "EDGES", most)
+        assert sorted((bytes(r[0]), bytes(r[1])) for r in N.components(edges).collect()) == want
+
+
+def test_links_of_a_small_table_are_joined_in_few_jobs(spark):
+    key = lambda k: zlib.crc32(str(k).encode()).to_bytes(4, "big") * 4
+    edges = spark.createDataFrame([(key(k), key(k + 1)) for k in range(300)], "a binary, b binary").repartition(7)
+    context = spark.sparkContext
+    context.setJobGroup("components of a chain", "")
+    try:
+        N.components(edges).collect()
+    finally:
+        context._jsc.sc().clearJobGroup()
+    assert len(context.statusTracker().getJobIdsForGroup("components of a chain")) < 12
+
+
+def test_parts_of_a_dealt_bucket_all_meet(spark):
+    rows = list(baseless_family(300, 6))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, N.near_dedup(docs, block=8, dealt=40).collect()), key=str) == brute_classes(rows)
