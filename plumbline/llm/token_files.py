@@ -93,24 +93,30 @@ class Encoder:
         self._renew()
         known, heads, whole = self.known, self.heads, set()
         cut = [t.split(" ") for t in texts]
-        new = set().union(*cut) - known.keys()
+        tails = [list(map(known.get, islice(parts, 1, None))) for parts in cut]  # looked up once: most of the time goes there
+        missed = [[p for p, ids in zip(islice(parts, 1, None), tail) if ids is None] if None in tail else [] for parts, tail in zip(cut, tails)]
+        new = set().union(*missed)
         carried = new & self.before.keys()
         known.update(zip(carried, map(self.before.__getitem__, carried)))
         new -= carried
-        bad = {p for p in new if p.strip() != p or not p}
-        text = " ".join(new)
-        bad |= {p for x in self.special if x in text for p in new if x in p}
+        unseen = new | ({parts[0] for parts in cut} - heads.keys())
+        bad = {p for p in unseen if p.strip() != p or not p}
+        text = " ".join(unseen)
+        bad |= {p for x in self.special if x in text for p in unseen if x in p}
         if bad:
-            whole = {k for k, parts in enumerate(cut) if not bad.isdisjoint(parts)}
+            whole = {k for k, parts in enumerate(cut) if parts[0] in bad or not bad.isdisjoint(missed[k])}
         self._learn(list(new - bad))
         first = list({parts[0] for k, parts in enumerate(cut) if k not in whole} - heads.keys())
         heads.update((h, np.array(e.ids, self.dtype).tobytes()) for h, e in zip(first, self.tokenizer.encode_batch_fast(first, add_special_tokens=False)))
         out = []
-        for k, (text, parts) in enumerate(zip(texts, cut)):
+        for k, (text, parts, tail) in enumerate(zip(texts, cut, tails)):
             if k in whole:
                 out.append(self.ids(text).tobytes())
             else:
-                out.append(heads[parts[0]] + b"".join(map(known.__getitem__, islice(parts, 1, None))))
+                if missed[k]:
+                    learned = map(known.__getitem__, missed[k])
+                    tail = [next(learned) if ids is None else ids for ids in tail]
+                out.append(heads[parts[0]] + b"".join(tail))
         return out
 
 

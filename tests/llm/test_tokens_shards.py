@@ -137,3 +137,25 @@ def test_fingerprints_of_odd_rows(spark, odd, empty):
     assert len(rows) == odd.count() and P.fingerprint_report(empty).collect() == []
     single = P.fingerprint_report(odd.where("doc_id = 4")).first()
     assert single.n_chars == 3 and single.near_next == 1.0
+
+
+def test_parts_are_looked_up_once_and_heads_are_not_learned_as_parts():
+    tool = T.Encoder(PATH)
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, key, default=None):
+            Counted.looked += 1
+            return dict.get(self, key, default)
+
+        def __getitem__(self, key):
+            Counted.looked += 1
+            return dict.__getitem__(self, key)
+
+    tool.known = Counted()
+    texts = ["alpha beta gamma", "alpha  beta", "delta\n beta", "", "x<|endoftext|> beta gamma", "gamma beta\tgamma delta", " beta"]
+    want = [tool.ids(t).tobytes() for t in texts]
+    assert tool.encode(texts) == want and "alpha" not in tool.known
+    Counted.looked = 0
+    assert tool.encode(["alpha beta gamma"] * 5) == want[:1] * 5 and Counted.looked == 10
