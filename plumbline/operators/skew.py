@@ -14,6 +14,8 @@ SALTS = 64
 # Share of the rows looked at to find hot keys; it decides balance only.
 LOOK_AT = 0.01
 SMALL_ROWS = 200_000
+# Rows that one task sorts and groups at once.
+TASK_ROWS = 500_000
 
 
 def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, look_at: float = LOOK_AT, drawn: bool = False) -> DataFrame | None:
@@ -74,6 +76,20 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], row_id: list[str],
     return salted_join(left, table, on, row_id, how)
 
 
+def dealt(df: DataFrame, on: list[str], task_rows: int | None = None) -> DataFrame:
+    """Deal the rows of a table by key over as many tasks as keep one of them at about ``task_rows`` rows.
+
+    Rows of a few numbers shrink to some bytes in a shuffle, and tasks made by
+    bytes then hold millions of them. A table of too few rows for all cores is
+    left alone, and one with a hot key, whose join Spark splits by itself.
+    """
+    spark = df.sparkSession
+    parts = df.count() // (task_rows or TASK_ROWS)
+    if parts < spark.sparkContext.defaultParallelism or hot_keys(df, on) is not None:
+        return df
+    return df.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), *on)
+
+
 def ordered_buckets(df: DataFrame, order_by: list[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Add ``_bucket``, a range number that follows the order of ``order_by`` (nulls first).
 

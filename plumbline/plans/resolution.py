@@ -16,7 +16,7 @@ from plumbline.operators import sampling as S
 from plumbline.operators.skew import salted_join
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
-from plumbline.session import Tables, shared_dir
+from plumbline.session import Tables, shared_dir, stage
 from plumbline.sources import readers
 
 RES = f"WITH {V.RESOLUTION} "
@@ -225,7 +225,8 @@ SELECT m.condition, count(*) AS mismatched, count(h.draft) AS cited_elsewhere FR
   (SELECT DISTINCT condition, draft, ord, part, supp FROM checked WHERE NOT name_match) m
 LEFT JOIN hit h ON h.draft=m.draft AND h.ord=m.ord AND h.part=m.part AND h.supp=m.supp GROUP BY 1""")
 def source_cited_elsewhere(t: Tables) -> DataFrame:
-    miss = _checked(t).filter(~F.col("name_match")).select("condition", *V.ROW_ID, "case_name").distinct()
+    # both branches read it
+    miss = stage(_checked(t).filter(~F.col("name_match")).select("condition", *V.ROW_ID, "case_name").distinct())
     # tokens meet tokens inside a draft: no pairing of all claims of a draft
     tokens = miss.select(*V.ROW_ID, F.explode(N.short_tokens("case_name")).alias("tok")).distinct()
     named = V.claims(t).select("draft", F.explode(N.short_tokens("claimed")).alias("tok")).distinct()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.skew import dealt
 from plumbline.session import Tables
 
 CONDITIONS = ["baseline", "quota", "temporal", "stakes", "combo"]
@@ -111,7 +112,7 @@ def clusters(t: Tables) -> DataFrame:
 
 
 def claims(t: Tables) -> DataFrame:
-    return t.lineitem.join(cases(t), F.col("l_orderkey") == F.col("orderkey")).selectExpr(*_CLAIMS)
+    return dealt(t.lineitem, ["l_orderkey"]).join(cases(t), F.col("l_orderkey") == F.col("orderkey")).selectExpr(*_CLAIMS)
 
 
 # --- SQL renderings of the text functions, for the oracles ------------------
