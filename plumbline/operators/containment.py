@@ -8,16 +8,21 @@ with a plain substring test. Anchor kinds by number of words in the fragment:
 * five or more: the longest three-word run that leaves out the first and last word; where fragments
   are too many to be broadcast, a six-word run if there are eight words or more, and in place of a run that is
   common in a sample of the texts the one that the fewest of them hold
-* three or four: the longest inner word
+* three or four: the longest inner word; where fragments are many, with three letters of either neighbour if these have them
 * two: the last seven letters of the first word, or the first seven of the second,
   whichever word is longer
 * one, of fifteen letters or more: its first fifteen letters
 * anything shorter has no anchor and is verified against every text
+
+An anchor has one place in its fragment, so a text is never sent on: each place of the text with an anchor's key sends on the
+letters around it, as many as the fragments reach, and these decide whether the fragment stands there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import let
@@ -35,11 +40,18 @@ GAPLESS_GRAM = 8
 SAMPLE_TEXTS = 20_000
 COMMON_RUNS = 10_000
 
-RUN, INNER, AFFIXES, LONG, BARE, STRETCH = "run", "inner", "affix", "long", "bare", "stretch"
+RUN, INNER, AFFIXES, LONG, BARE, STRETCH, NEAR = "run", "inner", "affix", "long", "bare", "stretch", "near"
+NEIGHBOUR = 3
 WORDS = {RUN: 3, STRETCH: 6}
-# A bit map of the fragments' anchors goes to the texts, which send on only keys that it holds: bits an anchor, and the most bits (8 MB).
+# A bit map of the fragments' anchors goes to the texts, which send on only keys that it holds: bits an anchor, the most bits (8 MB),
+# and the bits that are set for an anchor.
 ANCHOR_BITS = 16
 MOST_BITS = 1 << 26
+PROBES = 3
+# Fragments of up to this many words meet the texts in one pass; each further pass takes those of up to eight times as many, so that
+# a few long fragments do not widen what is sent on for all others.
+BAND_WORDS, BAND_GROWTH = 256, 8
+WIDE_WORDS = 32
 
 
 def _word(w: Column, i) -> Column:
@@ -47,7 +59,14 @@ def _word(w: Column, i) -> Column:
 
 
 def _run_hash(w: Column, i: Column, kind: str = RUN) -> Column:
-    return F.xxhash64(F.lit(kind), *[_word(w, i + k) for k in range(WORDS[kind])])
+    return F.xxhash64(F.lit(kind), F.slice(w, i + 1, F.lit(WORDS[kind])))
+
+
+def _near_hash(w: Column, i: Column) -> Column:
+    """A word with the letters next to it; null where a neighbour is too short."""
+    ahead, after = F.get(w, i - 1), F.get(w, i + 1)
+    enough = (F.length(ahead) >= NEIGHBOUR) & (F.length(after) >= NEIGHBOUR)
+    return F.when(enough, F.xxhash64(F.lit(NEAR), F.right(ahead, F.lit(NEIGHBOUR)), F.get(w, i), F.left(after, F.lit(NEIGHBOUR))))
 
 
 def _letters(w: Column, i: Column, kind: str = RUN) -> Column:
@@ -78,11 +97,16 @@ def _anchor_of(w: Column, stretches: bool = False) -> Column:
     affix = F.when(F.length(first) >= F.length(second), _tagged("tail", F.right(first, F.lit(AFFIX)))).otherwise(
         _tagged("head", F.left(second, F.lit(AFFIX)))
     )
+    near = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2)), lambda i: F.struct((-F.length(_word(w, i))).alias("k"), _near_hash(w, i).alias("h"))
+    )
+    near = F.array_min(F.filter(near, lambda x: x["h"].isNotNull()))["h"]
     made = lambda kind, anchor: F.struct(F.lit(kind).alias("kind"), anchor.alias("anchor"))
     longer = WORDS[STRETCH] + 2 if stretches else None
     return (
         F.when(n >= longer if stretches else F.lit(False), made(STRETCH, F.array_min(_inner_runs(w, STRETCH))["h"]))
         .when(n >= 5, made(RUN, F.array_min(_inner_runs(w, RUN))["h"]))
+        .when((n >= 3) & near.isNotNull() if stretches else F.lit(False), made(NEAR, near))
         .when(n >= 3, made(INNER, _tagged("word", F.array_min(inner)["w"])))
         .when((n == 2) & (F.greatest(F.length(first), F.length(second)) >= AFFIX), made(AFFIXES, affix))
         .when((n == 1) & (F.length(first) >= GRAM), made(LONG, _tagged("gram", F.left(first, F.lit(GRAM)))))
@@ -97,14 +121,18 @@ def with_anchor(frags: DataFrame, frag: str, stretches: bool = False) -> DataFra
     return made.withColumn("_kind", F.col("_a.kind")).withColumn("_anchor", F.col("_a.anchor")).drop("_a")
 
 
+def drawn_texts(docs: DataFrame, doc_id: str, sample: int = SAMPLE_TEXTS) -> DataFrame:
+    """About ``sample`` of the texts."""
+    step = max(1, docs.count() // sample)
+    return docs.where(F.pmod(F.xxhash64(doc_id), F.lit(step)) == 0)  # a filter on the id goes below the normalisation
+
+
 def common_runs(
     docs: DataFrame, doc_id: str, text: str, sample: int = SAMPLE_TEXTS, most: int = COMMON_RUNS, kinds: frozenset[str] = frozenset({RUN})
 ) -> DataFrame:
-    """(h, texts): the runs that most of the sampled texts hold, at most ``most`` of them."""
-    step = max(1, docs.count() // sample)
-    looked = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(step)) == 0)  # a filter on the id goes below the normalisation
-    counted = looked.select(F.explode(_text_keys(F.col(text), set(kinds))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("texts"))
-    return stage(counted.where("texts > 1").orderBy(F.desc("texts"), "h").limit(most))
+    """(h, texts): the runs that the sampled texts hold most often, at most ``most`` of them."""
+    counted = _keyed(drawn_texts(docs, doc_id, sample), doc_id, text, set(kinds)).groupBy(F.col("_anchor").alias("h")).agg(F.count(F.lit(1)).alias("texts"))
+    return stage(counted.where("texts > 1 AND h IS NOT NULL").orderBy(F.desc("texts"), "h").limit(most))
 
 
 def rarest_anchor(anchored: DataFrame, common: DataFrame, frag_id: str, frag: str, kind: str = RUN) -> DataFrame:
@@ -188,19 +216,25 @@ def _bits_of(size: int) -> int:
     return min(MOST_BITS, max(1 << 12, 1 << (ANCHOR_BITS * max(1, size) - 1).bit_length()))
 
 
+def _bit_places(bits: int) -> list[Column]:
+    """The bits of an anchor: its lower half and steps of its upper half, an odd number."""
+    low, step = F.col("_anchor").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("_anchor", 32).bitwiseOR(F.lit(1))
+    return [F.pmod(low + step * k if k else low, F.lit(bits)) for k in range(PROBES)]
+
+
 def _bit_map(anchors: DataFrame, size: int) -> Column:
     """The places of the anchors as an array of 64-bit words, at most ``MOST_BITS`` / 8 bytes."""
     bits = _bits_of(size)
-    place = F.pmod("_anchor", F.lit(bits))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    words = anchors.select(F.floor(place / 64).cast("long").alias("id"), one.alias("word")).groupBy("id").agg(F.bit_or("word").alias("word"))
+    places = anchors.select(F.explode(F.array(*_bit_places(bits))).alias("place"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
+    words = places.select(F.floor(F.col("place") / 64).cast("long").alias("id"), one.alias("word")).groupBy("id").agg(F.bit_or("word").alias("word"))
     every = anchors.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
     return stage(every.agg(F.sort_array(F.collect_list(F.struct("id", "word")))["word"].alias("words"))).scalar()
 
 
 def _holds(words: Column, size: int) -> Column:
-    place = F.pmod("_anchor", F.lit(_bits_of(size)))
-    return F.getbit(F.get(words, F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1
+    bit = lambda place: F.getbit(F.get(words, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1
+    return reduce(lambda a, b: a & b, [bit(place) for place in _bit_places(_bits_of(size))])
 
 
 def _bytes(frag: str) -> Column:
@@ -212,6 +246,142 @@ def _strategy(size: int, limit: int) -> str:
     return "broadcast" if size <= limit else "shuffle"
 
 
+def occurrences(text: Column, probe: Column) -> Column:
+    """How often a probe starts in a text, overlaps counted."""
+    return F.regexp_count(text, F.concat(F.lit(r"(?=\Q"), probe, F.lit(r"\E)")))
+
+
+def _placed(anchored: DataFrame, frag_id: str, frag: str) -> DataFrame:
+    """(frag_id, _kind, _anchor, _frag, _ahead, _words): a fragment, its words ahead of the one its anchor begins in, and its words."""
+
+    def place(w: Column) -> Column:
+        def of_run(kind: str) -> Column:
+            hashes = F.transform(_inner_runs(w, kind), lambda r: r["h"])
+            return F.array_position(hashes, F.col("_anchor"))  # the first of them begins at the second word
+
+        inner = F.transform(F.slice(w, F.lit(2), F.greatest(F.lit(0), F.size(w) - 2)), lambda x: _tagged("word", x))
+        near = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 2)), lambda i: _near_hash(w, i))
+        head = F.col("_anchor") != _tagged("tail", F.right(_word(w, 0), F.lit(AFFIX)))
+        kind = F.col("_kind")
+        ahead = (
+            F.when(kind == RUN, of_run(RUN)).when(kind == STRETCH, of_run(STRETCH)).when(kind == NEAR, F.array_position(near, F.col("_anchor")))
+            .when(kind == INNER, F.array_position(inner, F.col("_anchor"))).when(kind == AFFIXES, head.cast("long")).otherwise(F.lit(0).cast("long"))
+        )
+        return F.struct(ahead.cast("int").alias("ahead"), F.size(w).alias("words"))
+
+    made = anchored.where(F.col("_anchor").isNotNull()).withColumn("_c", F.explode(F.array(let(F.split(frag, " "), place))))
+    return made.select(frag_id, "_kind", "_anchor", F.col(frag).alias("_frag"), F.col("_c.ahead").alias("_ahead"), F.col("_c.words").alias("_words"))
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str, kinds: set[str]) -> DataFrame:
+    """(doc_id, _w, _i, _k, _anchor): every key of the wanted kinds, and where its word stands among the words of the text.
+
+    A word is a row where its keys are made, so that keys are hashed and tested in one compiled loop. Lambdas are kept out of it: Spark
+    does not compile them, and would write a row with all words of the text for each word. So is what makes it longer than the JVM compiles.
+    For a run of letters inside a word ``_w`` is the rest of the word, and ``_k`` counts on from 1.
+    """
+    w = docs.select(doc_id, F.split(text, " ").alias("_w"))
+    each = w.select(doc_id, "_w", F.posexplode_outer("_w").alias("_i", "_x"))
+    x, whole = F.col("_x"), F.length("_x") >= AFFIX
+    keys = [F.when(F.col("_i") + WORDS[k] <= F.size("_w"), _run_hash(F.col("_w"), F.col("_i"), k)) for k in (RUN, STRETCH) if k in kinds]
+    if INNER in kinds:
+        keys.append(_tagged("word", x))
+    if NEAR in kinds:
+        keys.append(_near_hash(F.col("_w"), F.col("_i")))
+    if AFFIXES in kinds:
+        keys += [F.when(whole, _tagged("tail", F.right(x, F.lit(AFFIX)))), F.when(whole, _tagged("head", F.left(x, F.lit(AFFIX))))]
+    found = []
+    if keys:
+        found.append(each.select(doc_id, "_w", "_i", F.explode_outer(F.array(*keys)).alias("_anchor")).withColumn("_k", F.lit(0)))
+    if LONG in kinds:
+        grams = F.transform(F.sequence(F.lit(1), F.length(x) - GRAM + 1), lambda i: _tagged("gram", x.substr(i, F.lit(GRAM))))
+        long = each.where(F.length(x) >= GRAM).select(doc_id, "_i", "_x").select(doc_id, "_x", F.posexplode_outer(grams).alias("_j", "_anchor"))
+        found.append(long.select(doc_id, F.array(x.substr(F.col("_j") + 1, F.length(x))).alias("_w"), F.lit(0).alias("_i"), "_anchor", (F.col("_j") + 1).alias("_k")))
+    return union_all([f.select(doc_id, "_w", "_i", "_k", "_anchor") for f in found])
+
+
+def _stands(w: Column, i: Column, k: Column) -> Column:
+    """Does a fragment stand where its anchor's word is the i-th? As many words as it has can hold it in one way only."""
+    cut = F.array_join(F.slice(w, F.greatest(i - F.col("_ahead"), F.lit(0)) + 1, F.col("_words")), " ")
+    # of the rest of a word it is the beginning
+    return (i >= F.col("_ahead")) & F.contains(cut, F.col("_frag")) & ((k == 0) | F.startswith(cut, F.col("_frag")))
+
+
+def _places(placed: DataFrame, docs: DataFrame, doc_id: str, text: str, frag_id: str, kinds: list[str], common: DataFrame | None, limit: int) -> DataFrame:
+    """(frag_id, doc_id), a row for every place of a text where the fragment stands.
+
+    Without ``common`` all fragments are broadcast. With it those at the commonest anchors are, up to ``limit`` bytes, and are verified
+    where a text is read: what the many texts that hold these anchors would send on is not sent on. The others are joined by their anchors.
+    """
+    kinds = set(kinds)
+    w, i, k = F.col("_w"), F.col("_i"), F.col("_k")
+    anchors = placed.select(frag_id, "_anchor", "_frag", "_ahead", "_words")
+    if common is None:
+        return _keyed(docs, doc_id, text, kinds).join(F.broadcast(anchors), "_anchor").where(_stands(w, i, k)).select(frag_id, doc_id)
+    size = anchors.count()
+    held = _holds(_bit_map(anchors, size), size)
+    met = anchors.join(F.broadcast(common.select(F.col("h").alias("_anchor"), "texts")), "_anchor", "left")
+    # few fragments of many words would widen what is sent on for all: their anchors count as the commonest
+    wide = F.when(F.max("_words").over(Window.partitionBy("_anchor")) > WIDE_WORDS, F.lit(63)).otherwise(F.floor(F.log2("texts")))
+    met = stage(met.withColumn("_often", F.coalesce(wide, F.lit(0)).cast("int")).drop("texts"))
+    often, total = 64, 0
+    for r in met.where("_often > 0").groupBy("_often").agg(_bytes("_frag")).orderBy(F.desc("_often")).collect():  # a row a power of two
+        total += r[1]
+        if total > limit:
+            break
+        often = r[0]
+    hot = met.where(F.col("_often") >= often).select(F.col(frag_id).alias("_hot"), "_anchor", "_frag", "_ahead", "_words")
+    back, on = met.where(F.col("_often") < often).agg(F.max("_ahead"), F.max(F.col("_words") - F.col("_ahead"))).first()
+    back, on = back or 0, on or 0
+    cold = F.col("_hot").isNull()
+    sent = _keyed(docs, doc_id, text, kinds).where(held).join(F.broadcast(hot), "_anchor", "left").where(cold | _stands(w, i, k))
+    # the words ahead of the key's own and from it on, as many as a fragment can reach
+    near = F.array_join(F.slice(w, F.greatest(i - back, F.lit(0)) + 1, F.lit(back + on)), " ")
+    sent = stage(sent.select(doc_id, "_hot", "_i", "_k", "_anchor", F.when(cold, near).alias("_near")))
+    rare = sent.where("_hot IS NULL").select(doc_id, "_i", "_k", "_anchor", "_near")
+    pairs = salted_join(rare, met.where(F.col("_often") < often).drop("_often"), ["_anchor"], [doc_id, "_i"], "inner")
+    pairs = pairs.where(_stands(F.split("_near", " "), F.least(i, F.lit(back)), k)).select(frag_id, doc_id)
+    return pairs.unionByName(sent.where("_hot IS NOT NULL").select(F.col("_hot").alias(frag_id), doc_id))
+
+
+def located(
+    frags: DataFrame, docs: DataFrame, *, frag_id: str, frag: str, doc_id: str, text: str, limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """(frag_id, doc_id, n): how often every document that holds the fragment holds it, overlaps counted.
+
+    No text is shuffled: what leaves a task is the letters around a key that some fragment has. A number as ``frag_id`` keeps the counts small.
+    """
+    # a text that cannot be null keeps the optimizer from testing, and so computing, it twice
+    docs = docs.select(doc_id, F.coalesce(text, F.lit("")).alias(text))
+    # a null or empty fragment is in no text
+    asked = frags.select(frag_id, frag).filter(F.length(frag) > 0)
+    anchored = with_anchor(asked, frag)
+    sizes = dict(anchored.groupBy("_kind").agg(_bytes(frag)).collect())  # a row a kind
+    found, common = [], None
+    if set(sizes) - {BARE}:
+        if _strategy(sum(n for kind, n in sizes.items() if kind != BARE), limit) == "shuffle":
+            anchored = stage(with_anchor(asked, frag, stretches=True))
+            looked = stage(drawn_texts(docs, doc_id))
+            runs = []
+            for kind in sorted({r[0] for r in anchored.select("_kind").distinct().collect()} - {BARE}):  # a row a kind
+                # the texts are drawn already
+                runs.append(common_runs(looked, doc_id, text, sample=1 << 62, kinds=frozenset({kind})))
+                if kind in WORDS:
+                    anchored = rarest_anchor(anchored, runs[-1], frag_id, frag, kind)
+            common = union_all(runs)
+        placed = stage(_placed(anchored, frag_id, frag))
+        band = F.greatest(F.lit(0), F.ceil(F.log(F.col("_words") / F.lit(BAND_WORDS)) / F.log(F.lit(float(BAND_GROWTH))))).cast("int")
+        reaches = placed.groupBy(band.alias("band")).agg(F.collect_set("_kind")).collect()
+        found = [_places(placed.where(band == r[0]), docs, doc_id, text, frag_id, r[1], common, limit) for r in reaches]
+    counted = [union_all(found).groupBy(frag_id, doc_id).agg(F.count(F.lit(1)).alias("n"))] if found else []
+    if BARE in sizes or not found:
+        # under fifteen letters and without a whole inner word: nothing to key on
+        bare = anchored.filter(F.col("_kind") == BARE).select(frag_id, frag)
+        rest = _nested(docs, bare, sizes.get(BARE, 0), max(limit, 1 << 20), text, frag)
+        counted.append(rest.select(frag_id, doc_id, occurrences(F.col(text), F.col(frag)).cast("long").alias("n")))
+    return union_all(counted)
+
+
 def contained(
     frags: DataFrame,
     docs: DataFrame,
@@ -226,8 +396,10 @@ def contained(
     """(frag_id, doc_id, *extra) for every document whose text holds the fragment as a substring.
 
     ``extra`` maps names to columns over ``frag`` and ``text`` that are
-    evaluated on the verified pairs.
+    evaluated on the verified pairs; only for them texts are fetched.
     """
+    if not extra:
+        return located(frags, docs, frag_id=frag_id, frag=frag, doc_id=doc_id, text=text, limit=limit).drop("n")
     # a text that cannot be null keeps the optimizer from testing, and so computing, it twice
     docs = docs.select(doc_id, F.coalesce(text, F.lit("")).alias(text))
     # a null or empty fragment is in no text
@@ -251,7 +423,7 @@ def contained(
         found.append(_nested(docs.select(doc_id, text), bare, sizes.get(BARE, 0), max(limit, 1 << 20), text, frag))
     pairs = union_all([f.select(frag_id, frag, doc_id, text) for f in found])
     verified = pairs.filter(F.contains(F.col(text), F.col(frag)))
-    return verified.select(frag_id, doc_id, *[c.alias(n) for n, c in (extra or {}).items()])
+    return verified.select(frag_id, doc_id, *[c.alias(n) for n, c in extra.items()])
 
 
 def contained_gapless(

@@ -192,12 +192,13 @@ DOC_QUOTES = (
 )
 
 
-def doc_quotes(t: Tables) -> DataFrame:
+def doc_quotes(t: Tables, whole: bool = True) -> DataFrame:
+    """Without ``whole`` the text is not taken apart beyond the words that are quoted: ``w`` ends with all that follows them."""
     from plumbline.functions.text import words
     from plumbline.session import spread
 
     # as a generated column the words are made once; the filter stays above it
-    w = spread(t.documents).withColumn("w", F.explode(F.array(words("text")))).filter(F.size("w") >= 25)
+    w = spread(t.documents).withColumn("w", F.explode(F.array(words("text", None if whole else 25)))).filter(F.size("w") >= 25)
     part = lambda a, b: F.array_join(F.slice("w", a, b - a + 1), " ")
     form = F.array(*[F.lit(x) for x in ("plain", "ellipsis", "altered", "dropped", "swapped")])
     kind = F.get(form, F.col("doc_id") % 5)

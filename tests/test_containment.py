@@ -114,3 +114,30 @@ def test_texts_send_on_only_keys_that_some_fragment_may_have(spark):
     assert J._bits_of(1) == 4096 and J._bits_of(10_000) == 1 << 18 and J._bits_of(10**9) == J.MOST_BITS
     pairs = J.contained(frags, docs, frag_id="fid", frag="frag", doc_id="did", text="text", limit=0).collect()
     assert [(r.fid, r.did) for r in pairs] == [(1, 7)]
+
+
+def test_located_counts_places(spark):
+    """Every fragment's places as by brute force: broadcast, joined by anchors, and with the commonest verified where texts are read."""
+    r = random.Random(5)
+    line = "licensed under extraordinarily permissive international conditions"
+    vocab = VOCAB + [f"w{i}" for i in range(40)]
+    docs = [" ".join([line] * (i % 4) + [r.choice(vocab) for _ in range(r.randint(1, 50))] + [line] * (i % 3)) for i in range(60)]
+    frags = sorted({*fragments(docs, 6), line, line[3:-4], f"{line} {line}", "constitutionality" * 2, "of " * 5 + "of", docs[7], f"{docs[9]} absent"})
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    f = spark.createDataFrame(list(enumerate(frags)), "fid int, frag string")
+    places = lambda x, t: sum(t.startswith(x, i) for i in range(len(t)))
+    expect = {(i, j, places(x, t)) for i, x in enumerate(frags) for j, t in enumerate(docs) if x in t}
+    assert max(n for _, _, n in expect) > 3
+    for limit in (J.BROADCAST_BYTES, 4_000, 0):
+        got = J.located(f, d, frag_id="fid", frag="frag", doc_id="doc_id", text="text", limit=limit)
+        assert sorted(map(tuple, got.collect())) == sorted(expect)
+
+
+def test_quotations_are_cut_without_taking_whole_texts_apart(spark, folder):
+    from plumbline.plans import views as V
+    from plumbline.session import Tables
+
+    t = Tables(spark, folder)
+    short, full = V.doc_quotes(t, whole=False), V.doc_quotes(t)
+    assert short.agg(F.max(F.size("w"))).first()[0] == 26 < full.agg(F.max(F.size("w"))).first()[0]
+    assert sorted(short.select("doc_id", "quote").collect()) == sorted(full.select("doc_id", "quote").collect())
