@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators.cells import top_per_group
-from plumbline.operators.containment import contained
+from plumbline.operators.containment import located, occurrences  # noqa: F401
 from plumbline.session import stage
 
 DISTINCTIVE_WORDS = 6
@@ -16,37 +16,38 @@ COUNT_CAP = 25
 GENERIC_AT = 6
 
 
-def occurrences(text: Column, probe: Column) -> Column:
-    """How often a probe starts in a text, overlaps counted."""
-    return F.regexp_count(text, F.concat(F.lit(r"(?=\Q"), probe, F.lit(r"\E)")))
+def numbered(frags: DataFrame, frag: str, number: str) -> DataFrame:
+    """(frag, number): every fragment once, with a number that stays the same for all who read it."""
+    return stage(frags.select(frag).distinct().withColumn(number, F.monotonically_increasing_id()))
 
 
-def probe_hits(frags: DataFrame, corpus: DataFrame, frag: str, doc_id: str, text: str) -> DataFrame:
-    """(frag, doc_id, probe, n): documents with the fragment, else with its middle ten words.
+def numbered_hits(asked: DataFrame, corpus: DataFrame, number: str, frag: str, doc_id: str, text: str) -> DataFrame:
+    """(number, doc_id, probe, n): documents with the fragment, else with its middle ten words; fragments are numbered and distinct.
 
-    Both forms of a fragment are searched in one pass over the corpus, equal
-    fragments once; the middle words count only where no document holds the
-    whole fragment. A fragment that k documents hold gives k rows, however many quotations ask for it.
+    Both forms of a fragment are searched in one pass over the corpus; the middle words count only where no document
+    holds the whole fragment. A fragment that k documents hold gives k rows, however many quotations ask for it.
     """
-    asked = frags.select(F.col(frag).alias("_orig")).distinct()
     forms = F.array(
-        F.struct(F.lit(0).alias("stage"), F.col("_orig").alias("probe")),
+        F.struct((F.col(number) * 2).alias("_form"), F.col(frag).alias("_probe")),
         F.when(
-            F.size(F.split("_orig", " ")) >= 10,
-            F.struct(F.lit(1).alias("stage"), X.middle_words("_orig", 10).alias("probe")),
+            F.size(F.split(frag, " ")) >= 10,
+            F.struct((F.col(number) * 2 + 1).alias("_form"), X.middle_words(frag, 10).alias("_probe")),
         ),
     )
-    asked = asked.select("_orig", F.explode(F.filter(forms, lambda x: x.isNotNull())).alias("f")).select(
-        "_orig", "f.stage", F.col("f.probe").alias("_probe")
-    )
-    found = contained(
-        asked.select(F.struct("_orig", "stage").alias("_form"), "_probe"), corpus, frag_id="_form", frag="_probe",
-        doc_id=doc_id, text=text, extra={"n": occurrences(F.col(text), F.col("_probe")), "probe": F.col("_probe")},
-    ).select("_form._orig", "_form.stage", doc_id, "n", "probe")
-    found = stage(found)
-    whole = found.filter("stage = 0").select("_orig").distinct().withColumn("_whole", F.lit(True))
-    kept = found.join(whole, "_orig", "left").filter((F.col("stage") == 0) | F.col("_whole").isNull())
-    return kept.select(F.col("_orig").alias(frag), doc_id, "probe", "n")
+    forms = stage(asked.select(F.explode(F.filter(forms, lambda x: x.isNotNull())).alias("f")).select("f._form", "f._probe"))
+    found = stage(located(forms, corpus, frag_id="_form", frag="_probe", doc_id=doc_id, text=text))
+    of = F.shiftright("_form", 1)
+    held = found.select("_form").distinct().withColumn("_of", of)
+    # of a fragment's forms the whole one, an even number, comes first
+    kept = held.groupBy(F.col("_of").alias(number)).agg(F.min("_form").alias("_form"))
+    probes = kept.join(forms, "_form").select("_form", number, F.col("_probe").alias("probe"))
+    return found.join(probes, "_form").select(number, doc_id, "probe", "n")
+
+
+def probe_hits(frags: DataFrame, corpus: DataFrame, frag: str, doc_id: str, text: str) -> DataFrame:
+    """(frag, doc_id, probe, n): :func:`numbered_hits` with the fragments themselves, equal ones once."""
+    asked = numbered(frags, frag, "_number")
+    return numbered_hits(asked, corpus, "_number", frag, doc_id, text).join(asked, "_number").select(frag, doc_id, "probe", "n")
 
 
 def holders(hits: DataFrame, frag: str, doc_id: str) -> DataFrame:

@@ -41,12 +41,12 @@ WITH {V.DOC_QUOTES}, d AS (SELECT doc_id, {NORM} AS n FROM documents)
 , f AS (SELECT doc_id AS quote_doc, unnest({V.frags('quote')}) AS frag FROM doc_quotes)
 SELECT quote_doc, count(*) AS holders, count(DISTINCT frag) AS fragments, min(d.doc_id) AS first_doc FROM f JOIN d ON contains(d.n, f.frag) GROUP BY 1""")
 def quote_fragments_in_corpus(t: Tables) -> DataFrame:
-    f = V.doc_quotes(t).select(F.col("doc_id").alias("quote_doc"), F.explode(X.fragments("quote", "literal")).alias("frag"))
+    f = V.doc_quotes(t, whole=False).select(F.col("doc_id").alias("quote_doc"), F.explode(X.fragments("quote", "literal")).alias("frag"))
     f = stage(f)
-    unique = f.select("frag").distinct().withColumn("fid", F.col("frag"))
+    unique = S.numbered(f, "frag", "fid")
     pairs = J.contained(unique, corpus(t), frag_id="fid", frag="frag", doc_id="doc_id", text="norm")
     # one row a fragment before it is joined back: k copies of a text do not meet k holders each
-    held = pairs.groupBy(F.col("fid").alias("frag")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    held = pairs.groupBy("fid").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).join(unique, "fid").drop("fid")
     return f.join(held, "frag").groupBy("quote_doc").agg(
         F.sum("n").alias("holders"), F.countDistinct("frag").alias("fragments"), F.min("first").alias("first_doc")
     )
@@ -92,10 +92,13 @@ def _hits_sql(mode: str) -> str:
 , per AS (SELECT fm.doc_id AS q, fm.att, o.* FROM fm JOIN occ o ON o.frag = fm.frag)"""
 
 
-def _probes(t: Tables, mode: str) -> DataFrame:
-    quotes = V.doc_quotes(t)
+def _probes(t: Tables, mode: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Quotations (q, att, frag), their fragments numbered (frag, fid), and what documents hold of them (fid, doc_id, probe, n)."""
+    quotes = V.doc_quotes(t, whole=False)
     att = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(F.col("doc_id") + 1)
-    return quotes.select(F.col("doc_id").alias("q"), att.alias("att"), X.longest_fragment("quote", mode).alias("frag"))
+    made = stage(quotes.select(F.col("doc_id").alias("q"), att.alias("att"), X.longest_fragment("quote", mode).alias("frag")))
+    frags = S.numbered(made, "frag", "fid")
+    return made, frags, S.numbered_hits(frags, corpus(t), "fid", "frag", "doc_id", "norm")
 
 
 def _caption_names(t: Tables) -> DataFrame:
@@ -110,10 +113,10 @@ def _caption_names(t: Tables) -> DataFrame:
 SELECT q, hits, CASE WHEN hits = 0 THEN 'not_in_corpus' WHEN own THEN 'found_in_attributed' WHEN distinctive THEN 'misattributed' ELSE 'generic_phrase_match' END AS cls FROM j""")
 def provenance_classes(t: Tables) -> DataFrame:
     """Classes over all holders of a quotation's longest fragment."""
-    probes = stage(_probes(t, "literal"))
-    hits = stage(S.probe_hits(probes, corpus(t), "frag", "doc_id", "norm"))
-    own = S.held_by_attributed(probes, hits, _caption_names(t), "q", "frag", "doc_id", "att").withColumn("own", F.lit(True))
-    j = salted_join(probes.select("q", "frag"), S.holders(hits, "frag", "doc_id"), ["frag"], ["q"]).join(own, "q", "left")
+    made, frags, hits = _probes(t, "literal")
+    probes, hits = stage(salted_join(made, frags, ["frag"], ["q"], "inner").select("q", "att", "fid")), stage(hits)
+    own = S.held_by_attributed(probes, hits, _caption_names(t), "q", "fid", "doc_id", "att").withColumn("own", F.lit(True))
+    j = salted_join(probes.select("q", "fid"), S.holders(hits, "fid", "doc_id"), ["fid"], ["q"]).join(own, "q", "left")
     hit = F.coalesce("occurrences", F.lit(0))
     return j.select("q", hit.alias("hits"), D.provenance_class(hit, F.coalesce("own", F.lit(False)), F.coalesce("distinctive", F.lit(False))).alias("cls"))
 
@@ -122,9 +125,9 @@ def provenance_classes(t: Tables) -> DataFrame:
 , g AS (SELECT q, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT doc_id) AS sources, bool_or(len(string_split(probe, ' ')) >= 6) AS distinctive FROM per GROUP BY 1)
 SELECT q, occurrences, sources, distinctive, CASE WHEN sources = 1 THEN 'one' WHEN sources <= 6 THEN 'few' ELSE 'many' END AS spread FROM g""")
 def accurate_provenance(t: Tables) -> DataFrame:
-    probes = stage(_probes(t, "strict"))
-    held = S.holders(S.probe_hits(probes, corpus(t), "frag", "doc_id", "norm"), "frag", "doc_id")
-    g = salted_join(probes.select("q", "frag"), held, ["frag"], ["q"], "inner").drop("frag")
+    made, frags, hits = _probes(t, "strict")
+    held = S.holders(hits, "fid", "doc_id").join(frags, "fid").drop("fid")
+    g = salted_join(made.select("q", "frag"), held, ["frag"], ["q"], "inner").drop("frag")
     return g.withColumn("spread", S.spread_class(F.col("sources")))
 
 
@@ -133,10 +136,11 @@ def accurate_provenance(t: Tables) -> DataFrame:
 SELECT md5(frag) AS frag_md5, doc_id, CAST(least(n, 3 - before) AS BIGINT) AS shown, CAST(least(total, 25) AS BIGINT) AS counted FROM o WHERE before < 3""")
 def first_three_hits(t: Tables) -> DataFrame:
     """The first three occurrences of a fragment, as a report shows them, beside its count up to 25."""
-    hits = stage(S.probe_hits(stage(_probes(t, "literal")), corpus(t), "frag", "doc_id", "norm"))
-    shown = S.first_hits(hits.select("frag", "doc_id", "n"), "frag", "doc_id", S.FIRST_HITS)
-    counted = hits.groupBy("frag").agg(F.least(F.sum("n"), F.lit(S.COUNT_CAP)).alias("counted"))
-    return shown.join(counted, "frag").select(F.md5("frag").alias("frag_md5"), "doc_id", F.col("taken").cast("long").alias("shown"), F.col("counted").cast("long").alias("counted"))
+    _, frags, hits = _probes(t, "literal")
+    hits = stage(hits.select("fid", "doc_id", "n"))
+    shown = S.first_hits(hits, "fid", "doc_id", S.FIRST_HITS)
+    counted = hits.groupBy("fid").agg(F.least(F.sum("n"), F.lit(S.COUNT_CAP)).alias("counted"))
+    return shown.join(counted, "fid").join(frags, "fid").select(F.md5("frag").alias("frag_md5"), "doc_id", F.col("taken").cast("long").alias("shown"), F.col("counted").cast("long").alias("counted"))
 
 
 _TWELVE = "CASE WHEN len(w) <= 12 THEN f ELSE array_to_string(w[len(w)//2 - 5: len(w)//2 + 6], ' ') END"
